@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words end at these bytes and nowhere else.
@@ -56,3 +57,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int,
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def buckets(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it; nulls are not keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        runs = pa.compute.run_end_encode(keys)
+        ends, start = runs.run_ends.to_pylist(), 0
+        for k, end in enumerate(ends):
+            if held and not (k == 0 and held[-1].column(key)[-1].equals(keys[0])):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
