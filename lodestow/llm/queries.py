@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestow.llm import mixing, simhash
+from lodestow.llm import fingerprints, mixing, simhash
 from lodestow.llm.base import documents
 
 
@@ -12,11 +12,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3, width=3)
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
