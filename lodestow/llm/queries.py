@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestow.llm import fingerprints, mixing, simhash
+from lodestow.llm import chat, fingerprints, mixing, simhash
 from lodestow.llm.base import documents
 
 
@@ -16,17 +16,43 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digests(chat.read_back(chat.expand(rows)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3, width=3)
 
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_chat": op4_chat,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op4_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), formatted AS (
+  SELECT *, '<turn role="' || role || '">' || chr(10) || regexp_replace(text, '(\\*</?turn)', '\\\1', 'g') || chr(10) || '</turn>' || chr(10) AS f FROM rows
+), sums AS (
+  SELECT *, sum(length(f)) OVER w AS upto, role = 'assistant' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS example
+  FROM formatted WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (example))::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant')::BIGINT AS n_targets
+FROM sums GROUP BY conv_id
+""",
     "op10_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
