@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestow.llm import chat, fingerprints, mixing, simhash
+from lodestow.llm import chat, fingerprints, mixing, simhash, warc
 from lodestow.llm.base import documents
 
 
@@ -23,6 +23,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.expand(rows)))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(documents(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3, width=3)
 
@@ -30,6 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op4_chat": op4_chat,
+    "op6_warc": op6_warc,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
@@ -52,6 +57,17 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   (sum(upto) FILTER (example))::BIGINT AS formatted_chars,
   count(*) FILTER (role = 'assistant')::BIGINT AS n_targets
 FROM sums GROUP BY conv_id
+""",
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY d) AS kept FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < kept THEN kept END AS refers_to
+FROM k
 """,
     "op10_mixing": r"""
 WITH sizes AS (
