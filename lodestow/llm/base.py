@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words end at these bytes and nowhere else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +43,12 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df as a table, to be broadcast if it has `most` rows at most and else to be joined by shuffles."""
+    kept = table(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestow.llm import chat, fingerprints, mixing, simhash, warc
+from lodestow.llm import chat, fingerprints, folds, langid, mixing, simhash, warc
 from lodestow.llm.base import documents
 
 
@@ -16,6 +17,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    predicted = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return predicted.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -33,6 +40,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_langid": op3_langid,
     "op4_chat": op4_chat,
     "op6_warc": op6_warc,
     "op9_simhash": op9_simhash,
