@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestow.llm import chat, fingerprints, folds, langid, mixing, simhash, warc
+from lodestow.llm import chat, fingerprints, folds, langid, mixing, quality, simhash, warc
 from lodestow.llm.base import documents
 
 
@@ -17,6 +17,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
+    return scored.select("doc_id", folds.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     predicted = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
@@ -40,6 +46,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality": op2_quality,
     "op3_langid": op3_langid,
     "op4_chat": op4_chat,
     "op6_warc": op6_warc,
