@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestow.llm import chat, fingerprints, folds, langid, mixing, quality, simhash, warc
+from lodestow.llm import chat, fingerprints, folds, langid, mixing, quality, simhash, substrings, warc
 from lodestow.llm.base import documents
 
 
@@ -36,6 +36,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.expand(rows)))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(documents(spark, sf_dir), 400)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_langid": op3_langid,
     "op4_chat": op4_chat,
+    "op5_substrings": op5_substrings,
     "op6_warc": op6_warc,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
