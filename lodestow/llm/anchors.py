@@ -27,22 +27,32 @@ _UP = _powers(_BASE, 1 << 12)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), 1 << 12)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of every gram-byte string of data (uint8)."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What string_hashes takes: sums of data's bytes (uint8), each times a power of its place."""
     global _UP, _DOWN
-    if len(data) > len(_UP):
-        n = 1 << len(data).bit_length()
+    if len(data) >= len(_UP):
+        n = 2 << len(data).bit_length()
         _UP, _DOWN = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTES[data] * _DOWN[: len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * _UP[: len(data) - gram + 1]
+    return sums
+
+
+def string_hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """64-bit hashes of the strings from starts to before ends; equal strings have equal hashes."""
+    h = (sums[ends] - sums[starts]) * _UP[: len(sums)][starts]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every gram-byte string of data."""
+    return string_hashes(prefix_sums(data), slice(0, len(data) - gram + 1), slice(gram, len(data) + 1))
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every `width` neighbours, from minima that run forwards and backwards through blocks."""
     n = len(keys)

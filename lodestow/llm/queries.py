@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestow.llm import chat, fingerprints, folds, langid, mixing, quality, simhash, substrings, warc
+from lodestow.llm import chat, decontaminate, fingerprints, folds, langid, mixing, passages, quality, simhash, substrings, warc
 from lodestow.llm.base import documents
 
 
@@ -44,6 +44,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(documents(spark, sf_dir))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), radius=3, width=3)
 
@@ -55,6 +63,8 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_substrings": op5_substrings,
     "op6_warc": op6_warc,
+    "op7_passages": op7_passages,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
