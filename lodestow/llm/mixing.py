@@ -8,8 +8,8 @@ documents allow. u comes from the document's id, so reruns agree.
 
 Scale: sizes and weights go to a narrow table once, texts are read once and never shuffled. The rank's cut is found from
 a histogram of ranks for each source; only the documents of the one bin that holds the cut are sorted, so a source with
-a third of all rows is not gathered in one task. The table of sources is small (one row each) and is the only thing
-that a single task sorts.
+a third of all rows is not gathered in one task. The table of sources (one row each) is the only thing that a single
+task sorts; it is broadcast up to 100,000 sources and joined by shuffles beyond that.
 
 Nulls: a null text has no words and is taken 0 times; a null source is a source of its own, last in order; a null id is
 an id of its own. Repeated rows are drawn alike and counted one by one. An empty table gives an empty result.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestow.llm.base import WORD, table
+from lodestow.llm.base import WORD, small, table
 
 #: Share of all words that the mix holds, copies of one document at most, weights by turns.
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3, 1, 2)
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[
     sizes = table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), odd.alias("w")))
     targets = source_targets(sizes, share, cap, weights)
     means = sizes.groupBy(F.col("source").alias("s")).agg(F.try_divide(F.sum(F.col("size") * F.col("w")), F.sum("size")).alias("mean"))
-    targets = targets.join(means, F.col("source").eqNullSafe(F.col("s"))).drop("s", "docs", "weight")
+    targets = small(targets.join(means, F.col("source").eqNullSafe(F.col("s"))).drop("s", "docs", "weight"))
     known = sizes.withColumnRenamed("source", "src").join(targets, F.col("src").eqNullSafe(F.col("source")))
     wanted = F.least(F.lit(cap), F.try_divide(F.try_divide("target", "source_size") * F.col("w"), F.col("mean")))
     wanted = F.when(F.col("size") > 0, wanted).otherwise(0.0)
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[
     bins = bins.withColumn("need", F.col("target") - F.sum("certain").over(by_key)).withColumn("before", F.sum("held").over(sums) - F.col("held"))
     # the cut lies in the only bin where the words before it are short of the need and with it are not
     cuts = bins.where(F.col("bin").isNotNull() & (F.col("before") < F.col("need"))).groupBy("key").agg(F.max(F.struct("bin", "before", "need")).alias("cut"))
-    cut = ranked.join(cuts, "key", "left")
+    cut = ranked.join(small(cuts), "key", "left")
     inside = F.col("bin") == F.col("cut.bin")
     running = F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = cut.where(inside).withColumn("more", (F.col("cut.before") + running - F.col("size") / 2 <= F.col("cut.need")).cast("int"))
