@@ -198,6 +198,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no leak."""
-    rows = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    leaked = find_leaks(rows.select(F.col("_id").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return rows.join(leaked, F.col("_id") == F.col("_leak"), "left_anti").drop("_id")
+    rows = docs.withColumn("_lodestow_code", F.xxhash64(F.coalesce("text", F.lit(""))))
+    leaked = find_leaks(rows.select(F.col("_lodestow_code").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_lodestow_leak")).distinct()
+    return rows.join(leaked, F.col("_lodestow_code") == F.col("_lodestow_leak"), "left_anti").drop("_lodestow_code")

@@ -245,12 +245,15 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return [s for s in out if s[0] < s[1]]
 
 
+#: Columns that are added to a caller's rows for a while.
+_SPANS, _OWN = "_lodestow_spans", "_lodestow_"
+
+
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the column spans (null: none)."""
-    names = [c for c in docs.columns if c != "spans"]
-    spans = repeated_windows(docs, length).select(*[F.col(c).alias(f"_{c}") for c in KEY], "spans")
-    keyed = docs.select(*names, *[c.alias(f"__{k}") for k, c in zip(KEY, _text_key())])
-    return keyed.join(spans, [F.col(f"__{c}") == F.col(f"_{c}") for c in KEY], "left").select(*names, "spans")
+    """docs with one more column, _SPANS (null: none)."""
+    spans = repeated_windows(docs, length).select(*[F.col(c).alias(f"{_OWN}of_{c}") for c in KEY], F.col("spans").alias(_SPANS))
+    keyed = docs.select(*docs.columns, *[c.alias(f"{_OWN}{k}") for k, c in zip(KEY, _text_key())])
+    return keyed.join(spans, [F.col(f"{_OWN}{c}") == F.col(f"{_OWN}of_{c}") for c in KEY], "left").select(*docs.columns, _SPANS)
 
 
 def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -259,13 +262,13 @@ def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("text"), batch.column(_SPANS).to_pylist()):
                 data, runs = text.as_py() or b"", merged(spans)
                 out.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(data, runs)).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in zip(*out))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs.select("doc_id", "text"), length).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), "spans")
+    rows = with_spans(docs.select("doc_id", "text"), length).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), _SPANS)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -276,13 +279,13 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("text"), batch.column(_SPANS).to_pylist()):
                 data = text.as_py()
                 texts.append(kept(b := data.encode(), whole_characters(b, merged(spans))).decode() if spans else data)
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 n = columns["n_chars"]
-                columns["n_chars"] = pa.array([len(t) if t is not None and s.as_py() else old for t, s, old in zip(texts, batch.column("spans"), n.to_pylist())], n.type)
+                columns["n_chars"] = pa.array([len(t) if t is not None and s.as_py() else old for t, s, old in zip(texts, batch.column(_SPANS), n.to_pylist())], n.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return with_spans(docs, length).mapInArrow(run, docs.schema)
