@@ -114,8 +114,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     floor = np.zeros(SIZES)
     for s in range(SIZES):
         near = [r["cosine"] for r in rows if r["size"] == s]
-        if len(near) >= 20:
-            floor[s] = SLACK * np.quantile(near, QUANTILE)
+        # longer texts than any sampled are held to the longest sampled ones' cosine
+        floor[s] = SLACK * np.quantile(near, QUANTILE) if len(near) >= 20 else floor[s - 1] if s else 0
     return Model(idf, [r["lang"] for r in model], np.array([r["centre"] for r in model], np.float32).reshape(-1, 1 << BITS), floor)
 
 
