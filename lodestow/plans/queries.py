@@ -409,9 +409,9 @@ def _decimal_sql(n: str, suffix: str, plain: str) -> str:
     return f"CASE WHEN {n} >= 1e9 THEN {text('1e9', 'GB')} WHEN {n} >= 1e6 THEN {text('1e6', 'MB')} WHEN {n} >= 1e3 THEN {text('1e3', 'KB')} ELSE {plain} END"
 
 
-@query(f"WITH x AS (SELECT p_partkey, (p_partkey * p_partkey * 37)::DOUBLE AS n FROM part) SELECT p_partkey, {_binary_sql('n')} AS binary_size, {_decimal_sql('n', '', chr(39).join(['format(', '{:.0f} B', ', n)']))} AS decimal_size, {_decimal_sql('n', '/s', chr(39).join(['format(', '{:.1f} B/s', ', n)']))} AS rate, format('{{:.0f}}%', p_partkey * 0.3103) AS share FROM x")
+@query(f"WITH x AS (SELECT p_partkey, (p_partkey * p_partkey * 37 + 0.017)::DOUBLE AS n FROM part) SELECT p_partkey, {_binary_sql('n')} AS binary_size, {_decimal_sql('n', '', chr(39).join(['format(', '{:.0f} B', ', n)']))} AS decimal_size, {_decimal_sql('n', '/s', chr(39).join(['format(', '{:.1f} B/s', ', n)']))} AS rate, format('{{:.0f}}%', p_partkey * 0.3103) AS share FROM x")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, n = F.col("p_partkey"), (F.col("p_partkey") * F.col("p_partkey") * 37).cast("double")
+    key, n = F.col("p_partkey"), (F.col("p_partkey") * F.col("p_partkey") * 37 + 0.017).cast("double")
     return load(spark, sf_dir, "part").select("p_partkey", fmt.bytes_binary(n).alias("binary_size"), fmt.bytes_decimal(n).alias("decimal_size"), fmt.bytes_per_second(n).alias("rate"), fmt.percentage(key * 0.3103 / 100).alias("share"))
 
 
