@@ -53,19 +53,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch whose texts hold about `most` bytes; a longer text stands alone."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
 def buckets(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
     """The rows of each key, from batches that are sorted by it; nulls are not keys."""
     held: list[pa.RecordBatch] = []

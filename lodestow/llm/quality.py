@@ -36,7 +36,7 @@ POSITIVES, UNLABELLED = 5000, 10000
 THRESHOLD = 0.7
 STEPS, RATE, PENALTY = 250, 0.02, 1e-2
 #: Least share of the positives above a score that the prior may be read at.
-ENOUGH = 0.05
+ENOUGH = 0.4
 
 _UPPER, _DIGIT, _MARKS = string.ascii_uppercase.encode(), string.digits.encode(), string.punctuation.encode()
 
@@ -79,14 +79,15 @@ class Model:
 
 def _train(p: np.ndarray, u: np.ndarray, gradient) -> tuple[np.ndarray, float]:
     """Adam on gradient(margins of p, margins of u) -> their derivatives."""
-    w, b = np.zeros(p.shape[1]), 0.0
+    w, b = np.zeros(p.shape[1], np.float32), np.float32(0)
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):
         gp, gu = gradient(p @ w + b, u @ w + b)
-        g = np.append(p.T @ gp + u.T @ gu + PENALTY * w, gp.sum() + gu.sum())
+        gp, gu = gp.astype(np.float32), gu.astype(np.float32)
+        g = np.append(gp @ p + gu @ u + PENALTY * w, gp.sum() + gu.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1].astype(np.float32), b - np.float32(step[-1])
     return w, b
 
 
@@ -95,21 +96,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among u, from scores that order both: the least U(above) / P(above) and U(below) / P(below)."""
-    ends = np.unique(np.quantile(p, np.linspace(0, 1, 201)))
+    """Share of positives among u, from scores that order both: the least U(above) / P(above)."""
     ratios = []
-    for sp, su in ((p, u), (-p, -u)):
-        for t in ends if sp is p else -ends:
-            share = (sp >= t).mean()
-            if share >= ENOUGH:
-                ratios.append((su >= t).mean() / share)
+    for t in np.unique(np.quantile(p, np.linspace(0, 1, 201))):
+        share = (p >= t).mean()
+        if share >= ENOUGH:
+            ratios.append((u >= t).mean() / share)
     return float(np.clip(min(ratios, default=0.5), 0.05, 0.98))
 
 
 def train(p: np.ndarray, u: np.ndarray) -> Model:
     """The model of feature rows of positives and of unlabelled texts; half of both orders, the other half gives the prior."""
-    both = np.concatenate([p, u])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    n = len(p) + len(u)
+    mean = (p.sum(axis=0, dtype=np.float64) + u.sum(axis=0, dtype=np.float64)) / n
+    squares = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (p, u)) / n
+    mean, scale = mean.astype(np.float32), (np.sqrt(np.maximum(0, squares - mean**2)) + 1e-3).astype(np.float32)
     p, u = (p - mean) / scale, (u - mean) / scale
     apart = lambda zp, zu: (-_sigmoid(-zp) / len(zp), _sigmoid(zu) / len(zu))
     w, b = _train(p[::2], u[::2], apart)
@@ -132,10 +133,10 @@ def _featured(rows: DataFrame, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float32()))], [*names, "x"])
+            found = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], [*names, "x"])
 
-    return rows.select(*names, "text").mapInArrow(run, f"{columns}, x array<float>")
+    return rows.select(*names, "text").mapInArrow(run, f"{columns}, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     p = docs.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("kind", F.lit(1))
     u = docs.where(folds.drawn(F.col("doc_id"), share(docs.count(), unlabelled), "unlabelled")).withColumn("kind", F.lit(0))
     rows = sorted(_featured(p.union(u), "kind int, doc_id long").collect(), key=lambda r: (r["kind"], r["doc_id"]))
-    x = {k: np.array([r["x"] for r in rows if r["kind"] == k], np.float64) for k in (0, 1)}
+    x = {k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["kind"] == k]) for k in (0, 1)}
     return train(x[1], x[0]) if len(x[1]) and len(x[0]) else None
 
 

@@ -181,7 +181,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = table(keyed.mapInArrow(find, "id long, no_id boolean, code long, gram long, context long, anchor int, first int, last int"))
     contexts = table(runs.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")))
     several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    asked = contexts.join(several, "gram", "left").where("n > 1 or k > 1").select("gram", "context", "n", F.coalesce(F.col("k") > 1, F.lit(False)).alias("differ"))
+    # a table of its own, so that the join below is of two plain shuffles and Spark may split a hot context
+    asked = table(contexts.join(several, "gram", "left").where("n > 1 or k > 1").select("gram", "context", "n", F.coalesce(F.col("k") > 1, F.lit(False)).alias("differ")))
     shared = table(runs.join(asked, ["gram", "context"]))
     whole = shared.where("n > 1").select(*KEY, F.col("first").alias("a"), (F.col("last") + length).alias("b"))
 
