@@ -72,7 +72,11 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[
     sure = known.withColumn("wanted", F.coalesce(wanted, F.lit(0.0))).withColumn("sure", F.floor("wanted")).withColumn("p", F.col("wanted") - F.col("sure"))
     u = uniform(F.col("doc_id"), seed)
     rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    ranked = sure.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+    # times the odds of its source's plain share a rank is the odds of a nearly uniform number, so bins hold about equally many
+    plain = F.least(F.lit(cap), F.try_divide("target", "source_size"))
+    part = plain - F.floor(plain)
+    even = F.col("rank") * F.when(part > 0, part / (1 - part)).otherwise(1.0)
+    ranked = sure.withColumn("rank", rank).withColumn("bin", F.floor(even / (1 + even) * BINS))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key")
     ranked = ranked.select(key, "doc_id", "source", "size", "source_size", "target", "sure", "rank", "bin")
     bins = ranked.groupBy("key", "bin").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("held"), F.sum(F.col("size") * F.col("sure")).alias("certain"), F.first("target").alias("target"))
