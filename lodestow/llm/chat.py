@@ -9,8 +9,8 @@ backslashes (also none) before `<turn` or `</turn` gets one more backslash; a co
 preceded by one, so reading takes one off again and every text comes back as it was. Roles are percent-encoded.
 
 Scale: conversations are grouped by id once; expanding, reading back and digests stay in those partitions without another
-shuffle. The output grows with the square of a conversation's turns, as the method asks for. One conversation is one row
-and has to fit in memory.
+shuffle. The output grows with the square of a conversation's turns, as the method asks for, one example at a time: what a
+task holds of a conversation is its turns, the example at hand and the replies read back so far.
 
 Nulls: a null text or role is empty; a null turn comes first, equal turns are ordered by role and text; a null conv_id is
 a conversation of its own. Repeated rows are repeated turns. An empty table gives an empty result.
@@ -42,16 +42,17 @@ def render(turn: Column) -> Column:
 
 
 def expand(conversations: DataFrame) -> DataFrame:
-    """conv_id, example, text (context and target), loss_start, loss_length (code points of text under the loss mask).
+    """conv_id, example, text (context and target), loss_start, loss_length (code points of text under the loss mask), whole.
 
-    An example without a target has loss_length null. Row order inside a conversation is example.
+    An example without a target has loss_length null. Row order inside a conversation is example; the last one is whole, that
+    is it holds every turn.
     """
     turns = conversations.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     whole = whole.withColumn("formatted", F.transform("turns", render)).withColumn("last", F.size("turns") - 1)
     trainable = F.transform("turns", lambda t, i: F.struct(i.alias("at"), (t["role"] == TRAINABLE).alias("target")))
     kept = F.filter(trainable, lambda x: x["target"] | (x["at"] == F.col("last")))
-    rows = whole.select("conv_id", "turns", "formatted", F.posexplode(kept).alias("example", "x"))
+    rows = whole.select("conv_id", "turns", "formatted", "last", F.posexplode(kept).alias("example", "x"))
     context = F.array_join(F.slice("formatted", F.lit(1), F.col("x.at")), "")
     turn = F.get("turns", F.col("x.at"))
     start = F.char_length("context") + F.char_length(_opening(turn["role"]))
@@ -62,6 +63,7 @@ def expand(conversations: DataFrame) -> DataFrame:
         F.concat("context", F.get("formatted", F.col("x.at"))).alias("text"),
         F.when(F.col("x.target"), start).alias("loss_start"),
         F.when(F.col("x.target"), F.char_length(escape(turn["text"]))).alias("loss_length"),
+        (F.col("x.at") == F.col("last")).alias("whole"),
     )
 
 
@@ -74,13 +76,12 @@ def parse(text: Column) -> Column:
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """One row per conversation, from the examples alone: turns (of the longest example), losses (the targets in order), formatted_chars."""
-    loss = F.substr("text", F.col("loss_start") + 1, F.col("loss_length"))
-    rows = examples.select("conv_id", F.struct("example", "text", F.when(F.col("loss_start").isNotNull(), unescape(loss)).alias("loss")).alias("x"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    chars = F.aggregate("x", F.lit(0).cast("long"), lambda n, e: n + F.char_length(e["text"]))
-    losses = F.transform(F.filter("x", lambda e: e["loss"].isNotNull()), lambda e: e["loss"])
-    return whole.select("conv_id", parse(F.element_at("x", -1)["text"]).alias("turns"), losses.alias("losses"), chars.alias("formatted_chars"))
+    """One row per conversation, from the examples alone: turns (of the whole example), losses (the targets in order), formatted_chars."""
+    loss = F.when(F.col("loss_start").isNotNull(), F.struct("example", unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_length"))).alias("loss")))
+    # a row goes on with its target alone, so that contexts, which repeat, are not gathered
+    rows = examples.select("conv_id", loss.alias("x"), F.when(F.col("whole"), F.col("text")).alias("text"), F.char_length("text").cast("long").alias("chars"))
+    found = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"), F.max("text").alias("text"), F.sum("chars").alias("formatted_chars"))
+    return found.select("conv_id", parse(F.col("text")).alias("turns"), F.transform("x", lambda x: x["loss"]).alias("losses"), "formatted_chars")
 
 
 def digests(read: DataFrame) -> DataFrame:
