@@ -42,6 +42,8 @@ from lodestow.llm.base import shared_folder, small, table
 DATE = "2000-01-01T00:00:00Z"
 #: Shortest payload that is stored once, bytes of ranges read at once.
 LEAST, BLOCK = 1000, 4 << 20
+#: Blocks for each task that reads.
+TASK = 16
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -214,7 +216,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, schema)
 
     blocks = table(ranges(packages))
-    return blocks.repartition("path", "start").mapInArrow(run, RECORD)
+    # blocks are few and small rows, so that tasks are counted by them and not by the bytes of their rows
+    n, cores = blocks.count(), packages.sparkSession.sparkContext.defaultParallelism
+    return blocks.repartition(max(1, n // TASK, min(n, cores)), "path", "start").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
