@@ -3,7 +3,8 @@
 Fingerprints come from word shingles (64 bits). For radius r every bit position gets a random non-zero vector of r + 1
 bits; the table of a non-zero vector v keeps the positions whose vector has an odd product with v. Any r differing
 positions leave some v with even products only (r equations, r + 1 unknowns), so every pair within the radius agrees on
-all kept bits of one of the 2^(r+1) - 1 tables: nothing within the radius is missed, whatever the data.
+all kept bits of one of the 2^(r+1) - 1 tables: nothing within the radius is missed, whatever the data. Radii above 3
+deal the positions to parts: a pair within 7 bits differs in 3 at most in one of two halves, and each half is covered.
 
 Scale: equal fingerprints are one class before any search. A table's bucket is searched in its task with bit counts over
 blocks and gives a spanning forest, never all pairs. A bucket above SPLIT classes is covered again with fresh vectors,
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestow.llm.base import buckets, table
+from lodestow.llm.base import small, table
 from lodestow.llm.components import components
 
 BITS, SEED = 64, 42
 #: Classes of a bucket that one task compares; larger buckets are covered again.
-SPLIT = 4096
-#: Covers laid over each other at most: each keeps about half of the bits left, so six leave none.
+SPLIT = 1 << 15
+#: Covers laid over each other at most; what is left then agrees in nearly all bits.
 DEEPEST = 6
 
 
@@ -73,15 +74,20 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def cover(radius: int, seed: int) -> list[int]:
-    """The kept-bit masks of the 2^(radius+1) - 1 tables, as signed longs; every non-zero vector serves equally many positions."""
-    n = (1 << radius + 1) - 1
-    vectors = np.random.default_rng(seed).permutation(np.arange(BITS) % n + 1)
-    odd = lambda v: sum(1 << i for i, x in enumerate(vectors.tolist()) if bin(x & v).count("1") % 2)
-    return [m - (1 << BITS) if (m := odd(v)) >> (BITS - 1) else m for v in range(1, n + 1)]
+    """The kept-bit masks of all tables, as signed longs; in each part every non-zero vector serves equally many positions."""
+    parts = radius // 4 + 1
+    n = (1 << radius // parts + 1) - 1
+    rng, masks = np.random.default_rng(seed), []
+    for part in np.array_split(rng.permutation(BITS), parts):
+        vectors = rng.permutation(np.arange(len(part)) % n + 1).tolist()
+        masks += [sum(1 << i for i, x in zip(part.tolist(), vectors) if (x & v).bit_count() % 2) for v in range(1, n + 1)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs (child, smallest index of its component) of the graph of fps within the radius."""
+    if len(fps) <= 256 and (np.bitwise_count(fps[:, None] ^ fps) <= radius).sum() == len(fps):
+        return []
     left, links = np.arange(len(fps)), []
     while len(left):
         # breadth first from the smallest unseen; each wave is compared with what is still unseen, block by block
@@ -95,33 +101,53 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def _bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges (child, root) of whole buckets."""
+    order = np.lexsort((node, key))
+    key, node, fp = key[order], node[order], fp[order].view(np.uint64)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(starts[1:], len(key))
+    two = starts[ends - starts == 2]  # by far the most buckets
+    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+    pairs = [np.stack((two + 1, two), axis=1)]
+    more = ends - starts > 2
+    for a, b in zip(starts[more].tolist(), ends[more].tolist()):
+        if found := _forest(fp[a:b], radius):
+            pairs.append(np.array(found) + a)
+    every = np.concatenate(pairs)
+    return node[every[:, 0]], node[every[:, 1]]
+
+
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v) edges between the classes (node long, fp long) whose fingerprints lie within the radius, or that such edges connect."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in buckets(batches):
-            bucket = bucket.sort_by("node")
-            found = _forest(bucket["fp"].to_numpy().view(np.uint64), radius)
-            if found:
-                nodes = bucket["node"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[[i for i, _ in found]]), pa.array(nodes[[j for _, j in found]])], ["u", "v"])
-
-    def keys(seed: int) -> Column:
-        return F.explode(F.array(*[F.concat(F.lit(f"{k:x}:"), F.hex(F.col("fp").bitwiseAND(F.lit(m)))) for k, m in enumerate(cover(radius, seed))]))
-
-    now, found = classes.select("node", "fp", keys(0).alias("key")), None
+        rest = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            rest = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, ("key", "node", "fp"))]
+            changes = np.flatnonzero(rest[0][1:] != rest[0][:-1])
+            if len(changes):  # the last bucket may go on in the next batch
+                end = changes[-1] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _bucket_links(*(r[:end] for r in rest), radius)], ["u", "v"])
+                rest = [r[end:] for r in rest]
+        if len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _bucket_links(*rest, radius)], ["u", "v"])
+
+    def keyed(rows: DataFrame, seed: int) -> DataFrame:
+        path = [c for c in rows.columns if c == "key"]
+        keys = F.array(*[F.xxhash64(*path, F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(cover(radius, seed))])
+        return rows.select("node", "fp", F.explode(keys).alias("key"))
+
+    now, found = keyed(classes.select("node", "fp"), 0), None
     for depth in range(DEEPEST):
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        now = table(now.join(sizes, "key"))
-        large = now.where(F.col("n") > SPLIT)
+        large = small(now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("key"))
         last = depth == DEEPEST - 1 or large.isEmpty()
-        small = now if last else now.where(F.col("n") <= SPLIT)
-        part = small.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(search, "u long, v long")
+        rest = now if last else now.join(large, "key", "left_anti")
+        part = rest.select("key", "node", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(search, "u long, v long")
         found = part if found is None else found.union(part)
         if last:
             break
-        again = large.select("node", "fp", F.col("key").alias("path"), keys(depth + 1).alias("next"))
-        now = again.select("node", "fp", F.concat("path", F.lit("/"), "next").alias("key"))
+        now = keyed(table(now.join(large, "key", "left_semi")), depth + 1)
     return found.distinct()
 
 

@@ -2,24 +2,25 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from lodestow.llm import simhash
 
 
-def brute_print(text):
+def brute_print(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def brute_components(prints):
+def brute_components(prints, radius=3):
     ids = sorted(prints)
     root = {i: i for i in ids}
     for i in ids:
         for j in ids:
-            if i < j and bin(prints[i] ^ prints[j]).count("1") <= 3 and root[i] != root[j]:
+            if i < j and bin(prints[i] ^ prints[j]).count("1") <= radius and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if v == high else v for k, v in root.items()}
     return root
@@ -52,26 +53,27 @@ def test_repeated_ids_and_empty_table(docs_of):
 
 def test_cover_meets_every_pair_within_the_radius():
     rng = random.Random(4)
-    for radius in (1, 2, 3):
+    for radius in (1, 2, 3, 4, 5, 7):
         masks = [m % (1 << 64) for m in simhash.cover(radius, 0)]
         for _ in range(300):
             flips = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(not flips & m for m in masks)
 
 
-def test_large_buckets_are_covered_again(spark, monkeypatch):
+@pytest.mark.parametrize("radius", [3, 7])
+def test_large_buckets_are_covered_again(spark, monkeypatch, radius):
     monkeypatch.setattr(simhash, "SPLIT", 4)
     rng = random.Random(6)
     prints = {0: rng.getrandbits(64)}
     for i in range(1, 60):
-        prints[i] = prints[rng.randrange(i)] ^ sum(1 << b for b in rng.sample(range(64), rng.choice([2, 3, 4])))
+        prints[i] = prints[rng.randrange(i)] ^ sum(1 << b for b in rng.sample(range(64), rng.choice([radius - 1, radius, radius + 1])))
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     classes = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "node long, fp long")
     root = {i: i for i in prints}
-    for r in simhash.links(classes).collect():
+    for r in simhash.links(classes, radius).collect():
         low, high = sorted((root[r["u"]], root[r["v"]]))
         root = {k: low if v == high else v for k, v in root.items()}
-    assert root == brute_components(prints)
+    assert root == brute_components(prints, radius)
 
 
 def test_majority_needs_over_half():
