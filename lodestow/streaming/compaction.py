@@ -45,10 +45,11 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return state.where("op <> 'delete'").select("key", "seq", "size")
 
 
-def overlay_states(log: DataFrame, idle: str = "1 hour") -> DataFrame:
+def overlay_states(log: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """Streaming overlay: key, seq, op, size, evicted of each key whenever it changes, and once more when it is evicted.
 
-    State is the key's newest entry; older ones that come late change nothing. A key idle for `idle` leaves the state.
+    State is the key's newest entry; older ones that come late change nothing. A key that is
+    idle for `idle_ms` milliseconds leaves the state.
     """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,7 +65,7 @@ def overlay_states(log: DataFrame, idle: str = "1 hour") -> DataFrame:
                 best = (int(row["seq"]), row["op"], int(row["size"]))
         changed = not state.exists or best != tuple(state.get)
         state.update(best)
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         if changed:
             yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "op": [best[1]], "size": [best[2]], "evicted": [False]})
 
