@@ -215,6 +215,11 @@ def version_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.versions(op_log(spark, sf_dir)).where("seq % 7 = 3").select("key", "seq", "version")
 
 
+@query(f"{with_views('op_log')} SELECT key, seq, size, version FROM ({_VERSIONS})")
+def every_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.versions(op_log(spark, sf_dir)).select("key", "seq", "size", "version")
+
+
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') WHERE rn = 1")
 def dedupe_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.latest(load(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")

@@ -23,3 +23,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     docs = load(spark, sf, "documents").where("doc_id = 17").select("doc_id", "n_chars")
     plan = docs._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,17)" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_every_commit_has_a_version(spark, sf):
+    commits = queries.op_log(spark, sf).where("op = 'commit'").count()
+    found = queries.QUERIES["every_version"](spark, sf).select("key", "seq").distinct().count()
+    assert found == commits > queries.QUERIES["version_by_id"](spark, sf).count()
