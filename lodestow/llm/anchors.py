@@ -64,6 +64,16 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backwards[: n - width + 1], forwards[width - 1 : n])
 
 
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """The places of the leftmost least hash of every `width` neighbours, ascending; long rows go in pieces."""
+    found = []
+    for piece in range(0, len(h) - width + 1, PIECE):
+        part = h[piece : piece + PIECE + width - 1]
+        keys = (part >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(part), dtype=np.uint64)
+        found.append(np.unique(_least(keys, width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64) + piece)
+    return np.unique(np.concatenate(found))
+
+
 def anchors(text: bytes, window: int, gram: int) -> list[tuple[int, int, int, int, int]]:
     """(gram hash, context hash, anchor, first window, last window) of each run; hashes as signed longs, places in text.
 
