@@ -32,10 +32,31 @@ def test_equal_texts_and_orders(docs_of):
 
 def test_insert_and_delete(spark):
     texts = spark.createDataFrame([(0, "a b c d\ne f g"), (1, "e f g"), (2, "a b c d")], "k int, text string")
-    lanes = {r["k"]: r["lanes"] for r in fp.lane_sums(texts, ["k"]).collect()}
-    row = spark.createDataFrame([(lanes[0], lanes[1], lanes[2])], "whole array<long>, one array<long>, two array<long>")
-    out = row.select(fp.delete(F.col("whole"), F.col("one")).alias("d"), fp.insert(F.col("one"), F.col("two")).alias("i")).first()
-    assert out["d"] == lanes[2] and out["i"] == lanes[0]
+    rows = fp.lane_sums(texts, ["k"]).groupBy().pivot("k", [0, 1, 2]).agg(F.first(F.struct("lanes", "n"))).withColumnsRenamed({"0": "whole", "1": "one", "2": "two"})
+    whole, one, two = F.col("whole"), F.col("one"), F.col("two")
+    code = lambda x: fp.encode(x["lanes"], x["n"])
+    out = rows.select(fp.delete(whole, one).alias("d"), fp.insert(one, two).alias("i"), "two", "whole", code(whole).alias("code"), fp.decode(code(whole)).alias("back"), code(fp.insert(one, two)).alias("same")).first()
+    assert out["d"] == out["two"] and out["i"] == out["whole"] == out["back"] and out["code"] == out["same"]
+
+
+def test_shingles_that_repeat_very_often(docs_of):
+    line = "the same line of five words and three more\n"
+    found = {r["doc_id"]: r for r in fp.fingerprints(docs_of([(2, line * 40000), (1, line * 20000)])).collect()}
+    assert abs(found[2]["near_next"] - 0.8) < 1e-3 and abs(found[1]["near_next"] - 0.8) < 1e-3
+
+
+def test_an_id_on_a_third_of_the_rows(spark, docs_of):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(0, 400, 2)]
+    rows += [(101, "copy of one text")] * 60 + [(101, f"other {k}") for k in range(40)] + [(None, "none")] * 3
+    docs = docs_of(rows)
+    codes = {r["text"]: r["code"] for r in docs.select("text", F.xxhash64("text").alias("code")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), codes[r[1]]))
+    want = []
+    for k, (doc_id, t) in enumerate(order):
+        body = t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]
+        want.append((str(doc_id), len(t), hashlib.sha256(body.encode()).hexdigest()))
+    found = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in fp.fingerprints(docs).collect()]
+    assert sorted(found) == sorted(want)
 
 
 def test_repeated_rows_and_empty_table(docs_of):
