@@ -1,16 +1,20 @@
-"""Connected components of an edge table by alternating stars (Kiveris et al., 2014), each round a written table."""
+"""Connected components of an edge table by alternating stars (Kiveris et al., 2014), each round a written table.
+
+A node may have any share of the edges: its least neighbour is found on the map side and goes to its edges by a checked
+broadcast, or by a join of two plain shuffles that Spark may split.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestow.llm.base import table
+from lodestow.llm.base import small, table
 
 
 def _least(pairs: DataFrame) -> DataFrame:
     """Smallest neighbour of each u; counted on the map side, so a hot node costs one row a task."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return small(pairs.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

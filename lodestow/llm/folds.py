@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,11 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(_remainder(doc_id) != 2, F.lit(False))
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """The least text of each keys: one row, however often an id is repeated, combined on the map side."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def drawn(doc_id: Column, share: Column, salt: str) -> Column:
     """A share of the ids, the same on every run: those whose hash is low enough."""
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(salt)), 11).cast("double") / F.lit(float(1 << 53)) < share

@@ -10,8 +10,10 @@ The model (languages x CLUSTERS x BUCKETS floats) goes to the tasks with the fun
 the sample.
 
 Nulls: a null text, and one without a letter, is `und` with score 0 and rejected. Rows with a null lang or id are
-predicted, not learned from. With nothing to learn from, every text is `und`. Repeated rows count each. An empty table
-gives an empty result.
+predicted, not learned from. With nothing to learn from, every text is `und`. Repeated rows count each in document
+frequencies; an id of a language is sampled once, with the least of its texts, however often it stands there. Very long
+texts are read whole. `predict` replaces columns of its own names, `recognised` leaves every column as it was. An empty
+table gives an empty result. `fit` is eager: it reads the rows twice, once for frequencies and once for the sample.
 """
 
 from __future__ import annotations
@@ -107,8 +109,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         near = (vectors @ centres.T).max(axis=1)
         return pd.DataFrame({"lang": keys[0], "centre": [[*c.tolist()] for c in centres] + [None] * len(near), "size": [None] * len(centres) + [_size(c) for c in found], "cosine": [None] * len(centres) + near.tolist()})
 
-    shares = small(known.groupBy("lang").agg((sample / F.count(F.lit(1))).alias("share")))
-    drawn = known.join(shares, "lang").where(folds.drawn(F.col("doc_id"), F.col("share"), "langid")).select("lang", "doc_id", "text")
+    shares = small(known.groupBy("lang").agg((sample / F.approx_count_distinct("doc_id", 0.01)).alias("share")))
+    drawn = folds.one_text(known.join(shares, "lang").where(folds.drawn(F.col("doc_id"), F.col("share"), "langid")), "lang", "doc_id")
     rows = drawn.groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, size int, cosine double").collect()
     model = sorted((r for r in rows if r["centre"]), key=lambda r: (r["lang"], r["centre"]))
     floor = np.zeros(SIZES)
@@ -119,11 +121,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(idf, [r["lang"] for r in model], np.array([r["centre"] for r in model], np.float32).reshape(-1, 1 << BITS), floor)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (the cosine) and rejected; its columns stay unless they have these names."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+#: Of the columns that predict adds.
+NAMES = ("lang_pred", "score", "rejected")
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not rejected, all columns as they were."""
+    own = [f"_lodestow_{c}" for c in NAMES]
+    return predict(docs, model, own).where(~F.col(own[2])).select(*docs.columns)
+
+
+def predict(docs: DataFrame, model: Model, as_names: list[str] | tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with lang_pred, score (the cosine) and rejected, under as_names; its columns stay unless they have these names."""
+    names = [c for c in docs.columns if c.lower() not in as_names]
     docs = docs.select(*names)
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    schema = docs.select("*", *[F.lit(x).alias(c) for c, x in zip(as_names, ("", 0.0, True))]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +152,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs.append(model.langs[best])
                 scores.append(float(np.clip(near[best], 0, 1)))
                 out.append(bool(near[best] < model.floor[_size(found)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*names, *as_names])
 
     return docs.mapInArrow(run, schema)

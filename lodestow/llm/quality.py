@@ -12,7 +12,8 @@ Scores are one pass over the texts that shuffles nothing.
 
 Nulls: a null text counts as empty and is scored like any other. Rows with a null id or of the held-out fold are scored,
 not learned from; a label that repeats counts once; null labels are unknown. Without positives every score is 0.5.
-Repeated rows are scored alike. An empty table gives an empty result.
+Repeated rows are scored alike; an id is learned from once, with the least of its texts. Very long texts are read whole.
+Other columns are not looked at. An empty table gives an empty result. `fit` is eager: it reads the rows three times.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestow.llm import folds, grams
+from lodestow.llm.base import small
 
 BITS = 9
 #: Bounds of what is learned from.
@@ -144,10 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(folds.learnable(F.col("doc_id")))
     trusted = labels.where((F.col("quality") == 1) & folds.learnable(F.col("doc_id"))).select(F.col("doc_id").cast("long")).distinct()
     share = lambda n, most: F.lit(min(1.0, most / max(n, 1)))
-    chosen = trusted.where(folds.drawn(F.col("doc_id"), share(trusted.count(), positives), "trusted"))
-    p = docs.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("kind", F.lit(1))
-    u = docs.where(folds.drawn(F.col("doc_id"), share(docs.count(), unlabelled), "unlabelled")).withColumn("kind", F.lit(0))
-    rows = sorted(_featured(p.union(u), "kind int, doc_id long").collect(), key=lambda r: (r["kind"], r["doc_id"]))
+    chosen = small(trusted.where(folds.drawn(F.col("doc_id"), share(trusted.count(), positives), "trusted")))
+    p = docs.join(chosen, "doc_id", "left_semi").withColumn("kind", F.lit(1))
+    ids = docs.agg(F.approx_count_distinct("doc_id", 0.01)).first()[0]
+    u = docs.where(folds.drawn(F.col("doc_id"), share(ids, unlabelled), "unlabelled")).withColumn("kind", F.lit(0))
+    rows = sorted(_featured(folds.one_text(p.union(u), "kind", "doc_id"), "kind int, doc_id long").collect(), key=lambda r: (r["kind"], r["doc_id"]))
     x = {k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["kind"] == k]) for k in (0, 1)}
     return train(x[1], x[0]) if len(x[1]) and len(x[0]) else None
 

@@ -17,7 +17,8 @@ is small, and else once, by page_id.
 Files are reached with pyarrow.fs from the URI of the shared folder (file, hdfs, s3, gs).
 
 Nulls: a null html is an empty payload, a null url leaves out the target header; a null page_id is read back as null and
-is never chosen over another id. Rows with the chosen id are responses each. An empty table gives an empty result.
+is never chosen over another id. Rows with the chosen id are responses each. Very long payloads are blocks of their own. Other
+columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,11 +93,13 @@ def zip_members(read, size: int) -> dict[str, tuple[int, int, int]]:
     """
     tail_at = max(0, size - 65557)
     tail = read(tail_at, size - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    # the record's signature may also stand in the comment after it; the right one's comment ends with the package
+    places = [m.start() for m in re.finditer(rb"(?=PK\x05\x06)", tail) if len(tail) - m.start() >= 22]
+    at = next((k for k in places if k + 22 + int.from_bytes(tail[k + 20 : k + 22], "little") == len(tail)), -1)
     if at < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<10xHII2x", tail[at : at + 22])
-    if tail_at + at >= 20 and 0xFFFF_FFFF in (length, start) or count == 0xFFFF:
+    if tail_at + at >= 20 and (0xFFFF_FFFF in (length, start) or count == 0xFFFF):
         mark, where = struct.unpack("<4s4xQ4x", read(tail_at + at - 20, 20))
         if mark == b"PK\x06\x07":
             mark, count, length, start = struct.unpack("<4s28xQQQ", read(where, 56))
@@ -104,10 +107,11 @@ def zip_members(read, size: int) -> dict[str, tuple[int, int, int]]:
                 raise ValueError("no ZIP64 end of central directory")
     listing, members, at = read(start, length), {}, 0
     for _ in range(count):
-        mark, method, packed, plain, n, extra, note, header = struct.unpack("<4s6xH8xIIHHH8xI", listing[at : at + 46])
-        if mark != b"PK\x01\x02":
+        if listing[at : at + 4] != b"PK\x01\x02" or len(listing) < at + 46:
             raise ValueError("damaged central directory")
-        name, more = listing[at + 46 : at + 46 + n].decode(), listing[at + 46 + n : at + 46 + n + extra]
+        flags, method, packed, plain, n, extra, note, header = struct.unpack("<8xHH8xIIHHH8xI", listing[at : at + 46])
+        # bit 11 says that a name is UTF-8; others are in the format's first code page
+        name, more = listing[at + 46 : at + 46 + n].decode("utf-8" if flags & 0x800 else "cp437"), listing[at + 46 + n : at + 46 + n + extra]
         while len(more) >= 4:  # the ZIP64 field holds, in this order, just the values that are out of range here
             tag, k = struct.unpack("<HH", more[:4])
             if tag == 1:
@@ -129,7 +133,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     """Write pages (page_id, url, html) as packages below the URI folder; the manifest: path, records."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     long = pages.where(F.octet_length("payload") >= least).select("page_id", F.unhex(F.sha1("payload")).alias("digest"))
-    repeated = long.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    repeated = small(long.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept"))
     # a page_id can stand on rows with different payloads, so the digest is part of the key
     marked = long.join(repeated, "digest").where("page_id != kept").select(F.col("page_id").alias("id"), "digest", F.col("kept").alias("refers_to")).distinct()
     rows = pages.withColumn("digest", F.unhex(F.sha1("payload"))).join(small(marked).withColumnRenamed("digest", "same"), (F.col("page_id") == F.col("id")) & (F.col("digest") == F.col("same")), "left")

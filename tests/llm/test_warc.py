@@ -32,7 +32,7 @@ def test_round_trip(spark):
     assert warc.round_trip(pages_of(spark, rows).where("false")).count() == 0
 
 
-def package(names, compression=zipfile.ZIP_STORED, zip64_limit=None, index=True):
+def package(names, compression=zipfile.ZIP_STORED, zip64_limit=None, comment=b""):
     out, before = io.BytesIO(), zipfile.ZIP64_LIMIT
     if zip64_limit is not None:
         zipfile.ZIP64_LIMIT = zip64_limit
@@ -40,7 +40,7 @@ def package(names, compression=zipfile.ZIP_STORED, zip64_limit=None, index=True)
         with zipfile.ZipFile(out, "w", compression) as z:
             for name, data in names.items():
                 z.writestr(name, data)
-            z.comment = b"PK\x05\x06 in the comment? no"[:0]
+            z.comment = comment
     finally:
         zipfile.ZIP64_LIMIT = before
     return out.getvalue()
@@ -55,10 +55,25 @@ def test_zip_and_zip64_directories(limit):
     assert {k: data[at : at + n] for k, (method, at, n) in members.items() if method == 0} == names
 
 
+@pytest.mark.parametrize("comment", [b"PK\x05\x06 at its start", b"at its end PK\x05\x06", b"PK\x05\x06" + bytes(30), b"x" * 65535])
+def test_comments_are_no_end_record(comment):
+    data = package({"archive/a.warc.gz": b"abc", "b": b"d"}, comment=comment)
+    members = warc.zip_members(lambda at, n: data[at : at + n], len(data))
+    assert {k: data[at : at + n] for k, (_, at, n) in members.items()} == {"archive/a.warc.gz": b"abc", "b": b"d"}
+
+
+def test_names_in_the_old_code_page():
+    data = package({"\u00e9.txt": b"abc"}).replace("\u00e9".encode(), b"\x82x")  # the flag is taken off below
+    data = data.replace(b"PK\x03\x04" + data[4:6] + b"\x00\x08", b"PK\x03\x04" + data[4:6] + b"\x00\x00")
+    at = data.index(b"PK\x01\x02")
+    data = data[: at + 8] + b"\x00\x00" + data[at + 10 :]
+    assert list(warc.zip_members(lambda at, n: data[at : at + n], len(data))) == ["\u00e9x.txt"]
+
+
 def test_damaged_packages_are_refused():
     data = package({"a": b"b"})
     for bad in (b"", data[:-30], b"PK"):
-        with pytest.raises(Exception):
+        with pytest.raises(ValueError):
             warc.zip_members(lambda at, n: bad[at : at + n], len(bad))
 
 
