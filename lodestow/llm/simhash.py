@@ -85,24 +85,23 @@ def cover(radius: int, seed: int) -> list[int]:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs (child, smallest index of its component) of the graph of fps within the radius."""
-    if len(fps) <= 256 and (np.bitwise_count(fps[:, None] ^ fps) <= radius).sum() == len(fps):
-        return []
+    """Index pairs within the radius that connect all of fps that such pairs connect."""
     left, links = np.arange(len(fps)), []
     while len(left):
         # breadth first from the smallest unseen; each wave is compared with what is still unseen, block by block
-        root, wave, left = left[0], left[:1], left[1:]
+        wave, left = left[:1], left[1:]
         while len(wave) and len(left):
-            near = np.zeros(len(left), bool)
+            met = np.full(len(left), -1)
             for at in range(0, len(wave), 64):
-                near |= (np.bitwise_count(fps[wave[at : at + 64], None] ^ fps[left][None, :]) <= radius).any(axis=0)
-            wave, left = left[near], left[~near]
-            links += [(int(i), int(root)) for i in wave]
+                near = np.bitwise_count(fps[wave[at : at + 64], None] ^ fps[left][None, :]) <= radius
+                met = np.where((met < 0) & near.any(axis=0), wave[at : at + 64][near.argmax(axis=0)], met)
+            wave, left, met = left[met >= 0], left[met < 0], met[met >= 0]
+            links += zip(wave.tolist(), met.tolist())
     return links
 
 
 def _bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges (child, root) of whole buckets."""
+    """Forest edges (child, parent) of whole buckets."""
     order = np.lexsort((node, key))
     key, node, fp = key[order], node[order], fp[order].view(np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -119,7 +118,7 @@ def _bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int
 
 
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """(u, v) edges between the classes (node long, fp long) whose fingerprints lie within the radius, or that such edges connect."""
+    """(u, v) edges between classes (node long, fp long) whose fingerprints lie within the radius; they connect all that such edges connect."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64)] * 3
