@@ -1,24 +1,26 @@
 """Benchmark decontamination by random-walk embedding and bit sampling.
 
-A leak is a window of a document, as many words long as a benchmark item, that becomes the item by at most a fifth as
-many word edits (insert, delete, replace). Words are lower-cased (A-Z) and lose ASCII punctuation.
+A leak is a stretch of a document, of any length, that becomes a benchmark item by word edits (insert, delete, replace), a
+fifth of the item's words at most. Words are lower-cased (A-Z) and lose ASCII punctuation.
 
 The CGK embedding (Chakraborty, Goldenberg, Koucky, 2016) reads a word list by a random walk: at each step it copies the
 current word and moves on if a random bit of step and word says so. Lists at a small edit distance fall into step again
 after each edit, so their copies agree at most steps. Tables of bit-sampling LSH compare the copies at COORDINATES random
-steps; every one of the TABLES has a walk of its own. A window and an item that meet in any table are compared exactly, by
-bit-parallel edit distance. With the defaults a pair at the largest distance is missed about once in a hundred times; at
-half of it practically never (tests measure both).
+steps; every one of the TABLES has a walk of its own. A window as long as an item that meets it in any table is looked at
+exactly: a bit-parallel search finds the stretch of least edit distance in the window and as many words on its sides as
+edits are allowed, so words put into an item push nothing out. With the defaults a leak at the largest distance is missed
+about once in a hundred times; at half of it practically never (tests measure both).
 
-Before that, a lossless count leaves out most windows: e edits spoil at most 2e of an item's n - 1 word pairs, so a window
-with fewer than n - 1 - 2e pairs of items of its length, each counted as often as it stands in one of them at most, is within
-reach of none.
+Before that, a lossless count leaves out most windows: e edits spoil at most 2e of an item's n - 1 word pairs and push e
+more out of a window, so a window with fewer than n - 1 - 3e pairs of items of its length, each counted as often as it
+stands in one of them at most, is within reach of none. Texts are searched to e words past their end.
 
-Scale: one pass over the documents, no shuffle. Items go to the tasks with the function, ITEMS at a time, so the benchmark
-may have any size; more blocks are more passes.
+Scale: one pass over the documents, no shuffle. Items go to the tasks with the function, ITEMS and ITEM_BYTES at a time,
+so the benchmark may have any size; more blocks are more passes.
 
 Nulls: null or empty texts, of documents or items, have no windows and no leaks. Repeated documents are reported each,
-equal items each. Null ids stay null. Empty tables give an empty result.
+equal items each. Null ids stay null. Very long texts are searched whole, a longer item than ITEM_BYTES is a block of its
+own. Other columns are not looked at. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 EDITS = 0.2
 TABLES, COORDINATES = 40, 2
 #: Items that are looked for in one pass.
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
 _MARKS = string.punctuation.encode()
 LEAK = "doc_id long, item_id long, start_word int, n_words int, edits int, similarity double"
 
@@ -69,6 +71,30 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
+def nearest(a: list, b: list) -> tuple[int, int, int]:
+    """Least edit distance of a to a stretch of b, and that stretch's start and end (the first that ends so near)."""
+
+    def scan(pattern: list, text: list, anchored: bool) -> tuple[int, int]:
+        where: dict = defaultdict(int)
+        for i, x in enumerate(pattern):
+            where[x] |= 1 << i
+        full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+        plus, minus, score, best = full, 0, len(pattern), (len(pattern), 0)
+        for j, x in enumerate(text, 1):
+            eq = where.get(x, 0)
+            d = (((eq & plus) + plus) ^ plus) | eq | minus
+            up, down = (minus | ~(d | plus)) & full, plus & d
+            score += bool(up & top) - bool(down & top)
+            up, down = (up << 1 | anchored) & full, (down << 1) & full
+            plus, minus = (down | ~(d | up)) & full, up & d
+            best = min(best, (score, j))
+        return best
+
+    edits, end = scan(a, b, False)
+    _, n = scan(a[::-1], b[:end][::-1], True)
+    return edits, end - n, end
+
+
 class Walks:
     """TABLES walks for lists of n numbers, each looked at in COORDINATES steps."""
 
@@ -114,7 +140,8 @@ class Index:
                     tables[t][key].append(k)
             self.classes[n] = (walks, tables, found)
         self.lengths = np.array(list(self.classes), np.int64)
-        self.need = np.array([n - 1 - 2 * allowed(n) for n in self.classes], np.int64)
+        self.slack = np.array([allowed(n) for n in self.classes], np.int64)
+        self.need = self.lengths - 1 - 3 * self.slack
         place = {n: k for k, n in enumerate(self.classes)}
         self.pairs = np.array(sorted(pairs), np.int64)
         self.first = np.cumsum([0, *(len(pairs[p]) for p in self.pairs.tolist())])  # of each pair's entries in the two below
@@ -122,10 +149,11 @@ class Index:
         self.most = np.array([k for p in self.pairs.tolist() for k in pairs[p].values()], np.int64)
 
     def _starts(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """n and the starts of windows of n words that hold enough pairs."""
+        """n and the starts of windows of n words that hold enough pairs; windows may go on past the end, by the edits allowed."""
         for n in self.lengths[self.need <= 0].tolist():
-            if n <= len(codes):
-                yield n, np.arange(len(codes) - n + 1) if n > 1 else np.flatnonzero(codes >= 0)
+            most = len(codes) - n + 1 + allowed(n)
+            if most > 0:
+                yield n, np.arange(most) if n > 1 else np.flatnonzero(codes >= 0)
         if not len(self.pairs):
             return
         pairs = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * self.base + codes[1:], -1)
@@ -135,8 +163,8 @@ class Index:
         # an entry for each length that has the pair in an item
         times = self.first[which + 1] - self.first[which]
         entries = np.repeat(self.first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        places, size = np.repeat(places, times), len(codes) + 1
-        for k in np.flatnonzero((np.bincount(self.of[entries], minlength=len(self.need)) >= self.need) & (self.need > 0) & (self.lengths <= len(codes))).tolist():
+        places, size = np.repeat(places, times), len(codes) + 1 + int(self.slack.max())
+        for k in np.flatnonzero((np.bincount(self.of[entries], minlength=len(self.need)) >= self.need) & (self.need > 0) & (self.lengths - self.slack <= len(codes))).tolist():
             n, mine = int(self.lengths[k]), self.of[entries] == k
             at, entry = places[mine], entries[mine]
             order = np.argsort(entry, kind="stable")
@@ -146,30 +174,30 @@ class Index:
             before[order[same]] = at[order[back[same]]]
             start = np.maximum(before, at - n + 1) + 1
             held = np.cumsum(np.bincount(np.maximum(start, 0), minlength=size) - np.bincount(at + 1, minlength=size))
-            yield n, np.flatnonzero(held[: len(codes) - n + 1] >= self.need[k])
+            yield n, np.flatnonzero(held[: len(codes) - n + 1 + int(self.slack[k])] >= self.need[k])
 
     def leaks(self, text: str | None) -> list[tuple[int | None, int, int, int, float]]:
-        """(item, first word, words, edits, similarity) of a text's leaks; of overlapping windows of an item the closest, then the first."""
+        """(item, first word, words, edits, similarity) of a text's leaks; of overlapping ones of an item the closest, then the first."""
         codes = np.fromiter(map(self.ids.get, ws := words(text), iter(lambda: -1, None)), np.int64, len(ws))
         if not len(codes) or not (codes >= 0).any():
             return []
-        out = []
+        out, padded = set(), np.concatenate((codes, np.full(int(self.slack.max()), -1)))
         for n, starts in self._starts(codes):
-            walks, tables, items = self.classes[n]
+            (walks, tables, items), e = self.classes[n], allowed(n)
             for part in range(0, len(starts), 512):
                 some = starts[part : part + 512]
-                lists = codes[some[:, None] + np.arange(n)]
+                lists = padded[some[:, None] + np.arange(n)]
                 met = {(s, k) for t, row in zip(tables, walks.keys(lists).tolist()) for s, key in enumerate(row) for k in t.get(key, ())}
-                for s, k in sorted(met):
-                    e = edit_distance(items[k][1], lists[s].tolist())
-                    if e <= allowed(n):
-                        out.append((items[k][0], int(some[s]), n, e, 1 - e / n))
+                for s, k in met:
+                    low = max(0, int(some[s]) - e)
+                    edits, start, end = nearest(items[k][1], codes[low : int(some[s]) + n + e].tolist())
+                    if edits <= e:
+                        out.add((n, k, low + start, end - start, edits))
         taken, kept = defaultdict(list), []
-        for row in sorted(out, key=lambda r: (r[3], r[1])):
-            key = (row[0], row[2])
-            if all(abs(row[1] - s) >= row[2] for s in taken[key]):
-                taken[key].append(row[1])
-                kept.append(row)
+        for n, k, start, size, edits in sorted(out, key=lambda r: (r[4], r[2], r)):
+            if all(start + size <= a or start >= b for a, b in taken[n, k]):
+                taken[n, k].append((start, start + size))
+                kept.append((self.classes[n][2][k][0], start, size, edits, 1 - edits / n))
         return kept
 
 
@@ -188,11 +216,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, LEAK)
 
-    blocks, block = [], []
+    blocks, block, held = [], [], 0
     for r in items.toLocalIterator():
+        size = len(r["text"] or "")
+        if block and (len(block) == ITEMS or held + size > ITEM_BYTES):
+            blocks, block, held = [*blocks, scan(block)], [], 0
         block.append((r["item_id"], r["text"]))
-        if len(block) == ITEMS:
-            blocks, block = [*blocks, scan(block)], []
+        held += size
     return reduce(DataFrame.union, [*blocks, scan(block)] if block or not blocks else blocks)
 
 

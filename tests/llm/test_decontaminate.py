@@ -23,16 +23,49 @@ def test_edit_distance():
         assert d.edit_distance(a, b) == brute(a, b)
 
 
+def nearest_by_force(a, b):
+    """Least distance of a to any stretch of b: rows that may start anywhere, the least of the last one."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return min(row)
+
+
 def leaks_by_force(items, text):
     ws, found = d.words(text), set()
     for i, t in items:
         item = d.words(t)
-        n = len(item)
-        if n and any(brute(item, ws[s : s + n]) <= d.allowed(n) for s in range(len(ws) - n + 1)):
+        if item and nearest_by_force(item, ws) <= d.allowed(len(item)):
             found.add(i)
     return found
 
 
+def test_nearest_stretches():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(low, 14))] for low in (1, 0))
+        edits, start, end = d.nearest(a, b)
+        assert edits == nearest_by_force(a, b) == brute(a, b[start:end])
+
+
+def test_words_put_in_or_cut_off_at_the_end(docs_of, spark):
+    rng = random.Random(3)
+    vocab = vocabulary(rng)
+    items = [(i, [rng.choice(vocab) for _ in range(40)]) for i in range(60)]
+    rows = []
+    for i, ws in items:
+        more = list(ws)
+        for _ in range(5):
+            more.insert(rng.randrange(1, len(more)), "inserted")
+        rows += [(3 * i, " ".join(vocab[:20] + more + vocab[20:40])), (3 * i + 1, " ".join(vocab[:5] + ws[:33])), (3 * i + 2, " ".join(ws[1:]))]
+    found = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(docs_of(rows), spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")).collect()}
+    for kind in range(3):
+        assert sum((3 * i + kind, i) in found for i, _ in items) >= 58
+    assert all(a // 3 == b for a, b in found)
+
+
 def test_recall_and_precision_against_brute_force():
     rng = random.Random(1)
     vocab = vocabulary(rng)
