@@ -13,7 +13,8 @@ shuffle. The output grows with the square of a conversation's turns, as the meth
 task holds of a conversation is its turns, the example at hand and the replies read back so far.
 
 Nulls: a null text or role is empty; a null turn comes first, equal turns are ordered by role and text; a null conv_id is
-a conversation of its own. Repeated rows are repeated turns. An empty table gives an empty result.
+a conversation of its own. Repeated rows are repeated turns. Very long texts are formatted whole. Other columns are
+not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations

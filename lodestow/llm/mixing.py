@@ -12,7 +12,8 @@ a third of all rows is not gathered in one task. The table of sources (one row e
 task sorts; it is broadcast up to 100,000 sources and joined by shuffles beyond that.
 
 Nulls: a null text has no words and is taken 0 times; a null source is a source of its own, last in order; a null id is
-an id of its own. Repeated rows are drawn alike and counted one by one. An empty table gives an empty result.
+an id of its own. Repeated rows are drawn alike and counted one by one. Very long texts are whole documents, taken or
+not. Other columns than those named are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ which keeps more bits, until buckets are small or hold only fingerprints that ag
 capped or dropped. Links then run through connected components.
 
 Nulls: a null text has no words. A text without words has fingerprint zero, linked like any other. Rows with a null id
-get a fingerprint and no link. Repeated ids are one node. An empty table gives an empty result.
+get a fingerprint and no link. Repeated ids are one node. Very long texts are hashed whole. Other columns are not looked
+at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     classes = table(classes)
     # an id that repeats with different texts ties their classes together
     ids = prints.where("doc_id is not null").distinct().join(classes, "fp").select("doc_id", "node")
-    least = ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w").select("doc_id", "v")
+    least = small(ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w").select("doc_id", "v"))
     tied = ids.join(least, "doc_id").select(F.col("node").alias("u"), "v")
     roots = components(links(classes, radius).union(tied))
     known = classes.join(roots, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"))

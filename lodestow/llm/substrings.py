@@ -13,8 +13,9 @@ cut contexts, to cut the result) are shuffled. A group of more than SPLIT contex
 the anchor and keyed by the longer string that all windows of a half share, again and again, down to single windows,
 which are counted; so a passage with any number of different surroundings is never one task's group.
 
-Nulls: a null text is empty; rows with a null id are documents like others. Repeated rows are each other's repeats. An
-empty table gives an empty result.
+Nulls: a null text is empty; rows with a null id are documents like others. Repeated rows are each other's repeats.
+Very long texts are read whole, by overlapping pieces. Other columns are not looked at (`cleaned` keeps them). An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

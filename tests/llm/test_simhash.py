@@ -79,3 +79,12 @@ def test_large_buckets_are_covered_again(spark, monkeypatch, radius):
 def test_majority_needs_over_half():
     assert simhash.majority(np.array([0b01, 0b10], np.uint64)) == 0
     assert simhash.majority(np.array([0b01, 0b01, 0b10], np.uint64)) == 1
+
+
+def test_very_long_texts_are_hashed_whole(docs_of):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50000)}" for _ in range(60000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3] + ["other", "last", "words"])), (3, " ".join(words[:30000]))]
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs_of(rows)).collect()}
+    assert {i: f for i, (f, _) in found.items()} == {i: f"{brute_print(t):016x}" for i, t in rows}
+    assert found[2][1] == 1 and found[3][1] == 3

@@ -82,3 +82,23 @@ def test_long_texts_go_in_pieces(monkeypatch):
     monkeypatch.setattr(anchors, "PIECE", 64)
     text = bytes(random.Random(9).choice(b"abcdef") for _ in range(500))
     assert {s for r in anchors.anchors(text, 40, 20) for s in range(r[3], r[4] + 1)} == set(range(461))
+
+
+def test_registered_query_against_brute_force(spark, sf):
+    """All supplied texts at the query's own length; strings are counted by their hashes."""
+    from lodestow.llm import queries
+
+    n, texts = 400, {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    count = Counter(hash(t[k : k + n]) for t in texts.values() for k in range(len(t) - n + 1))
+    found, lost = {r["doc_id"]: r for r in queries.op5_substrings(spark, sf).collect()}, 0
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - n + 1):
+            if count[hash(t[k : k + n])] > 1:
+                gone[k : k + n] = b"\1" * n
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()
+        assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(t), sum(gone), runs, kept)
+        lost += any(gone)
+    assert lost
