@@ -2,41 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestow.session import scratch
+
 TIMED = ("create", "write", "commit", "inspect", "random_read", "read", "delete")
 
 
-def order_statistics(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
-    """key, n and for each name the value at place min(floor(n * share), n - 1) of the ascending values.
+def _kept(df: DataFrame) -> DataFrame:
+    folder = scratch(df.sparkSession, "statistics")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
 
-    Exact, and no key is sorted whole: values are counted in equal bins between the key's extremes, and only the bins that
-    hold a wanted place are sorted.
+def order_statistics(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 256, most: int = 1 << 20) -> DataFrame:
+    """key, n and for each name the value at place min(floor(n * share), n - 1) of the ascending values; nulls and NaN are no
+    values, a key without values has n 0 and zeros.
+
+    Exact, and nothing is sorted whole: values are counted between approximate quantiles of their group, each quantile's
+    own value apart. Bins that hold a wanted place are groups in turn until each is one value or `most` rows at most.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    spans = rows.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
-    scaled = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
-    joined = rows.join(spans.select(F.col("k").alias("k1"), "low", "high"), F.col("k").eqNullSafe(F.col("k1")))
-    binned = joined.select("k", "v", F.coalesce(scaled, F.lit(0)).alias("bin"))
-    counts = binned.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("m"))
-    every = Window.partitionBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("k").orderBy("bin"))).withColumn("n", F.sum("m").over(every))
+    every = df.select(F.struct(F.col(key).alias("k")).alias("k"), F.col(value).cast("double").alias("v"))
+    rows = every.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("g", F.lit(0).cast("long"))
+    totals = every.groupBy("k").agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("n"))
     names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()])).alias("q")
-    wanted = upto.select("k", "bin", "m", "upto", "n", names).withColumn("place", F.least(F.floor(F.col("n") * F.col("q.p")), F.col("n") - 1))
-    wanted = wanted.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("m")))
-    wanted = wanted.select(F.col("k").alias("k2"), F.col("bin").alias("bin2"), F.col("q.name").alias("name"), (F.col("place") - F.col("upto") + F.col("m") + 1).alias("row2"))
-    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("bin") == F.col("bin2"))
-    needed = binned.join(wanted.select("k2", "bin2").distinct(), same, "left_semi")
-    ranked = needed.withColumn("row", F.row_number().over(Window.partitionBy("k", "bin").orderBy("v")))
-    found = ranked.join(wanted, same & (F.col("row") == F.col("row2"))).select(F.col("k").alias("k3"), "v", "name")
-    wide = found.groupBy("k3").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
-    return spans.join(wide, F.col("k").eqNullSafe(F.col("k3"))).select(F.col("k").alias(key), "n", *shares)
+    wanted = totals.where("n > 0").select("k", F.lit(0).cast("long").alias("g"), names, "n")
+    wanted = _kept(wanted.select("k", "g", "q.name", F.least(F.floor(F.col("n") * F.col("q.p")), F.col("n") - 1).alias("place")))
+    found = []
+    while True:
+        bounds = _kept(rows.groupBy("k", "g").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10_000).alias("bounds")))
+        if bounds.count() <= 1000:  # some 2 MB
+            bounds = F.broadcast(bounds)
+        # even numbers between bounds, odd ones for the bounds themselves
+        below = F.size(F.filter(F.array_distinct("bounds"), lambda b: b < F.col("v")))
+        rows = rows.join(bounds, ["k", "g"]).select("k", "g", "v", (2 * below + F.array_contains("bounds", F.col("v")).cast("int")).alias("bin"))
+        counts = rows.groupBy("k", "g", "bin").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = counts.withColumn("before", F.sum("m").over(Window.partitionBy("k", "g").orderBy("bin")) - F.col("m"))
+        hit = wanted.join(before, ["k", "g"]).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("m")))
+        hit = _kept(hit.withColumn("place", F.col("place") - F.col("before")))
+        found.append(hit.where("low = high").select("k", "name", F.col("low").alias("v")))
+        open_bins = hit.where("low < high").select("k", "g", "bin", "name", "place", "m")
+        largest = open_bins.agg(F.max("m")).first()[0]
+        if largest is None:
+            break
+        rows = rows.join(F.broadcast(open_bins.select("k", "g", "bin").distinct()) if hit.count() <= 100_000 else open_bins.select("k", "g", "bin").distinct(), ["k", "g", "bin"], "left_semi")
+        if largest <= most:
+            ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "g", "bin").orderBy("v")) - 1)
+            found.append(ranked.join(open_bins, ["k", "g", "bin", "place"]).select("k", "name", "v"))
+            break
+        group = F.xxhash64("g", "bin")
+        rows, wanted = _kept(rows.select("k", "v", group.alias("g"))), open_bins.select("k", group.alias("g"), "name", "place")
+    long = reduce(DataFrame.unionByName, found)
+    wide = long.groupBy("k").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+    return totals.join(wide, "k", "left").select(F.col("k.k").alias(key), "n", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in shares])
 
 
 def latency_summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, n, avg, p95, p99, max; the mean of no values is 0."""
-    ends = df.groupBy(F.col(key).alias("_k")).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_ms"), F.max(value).alias("max_ms"))
+    """key, n, avg, p95, p99, max of values; nulls and NaN are no values, and all figures of no values are 0."""
+    real = F.when(~F.isnan(value), F.col(value))
+    ends = df.groupBy(F.col(key).alias("_k")).agg(F.coalesce(F.avg(real), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.max(real), F.lit(0.0)).alias("max_ms"))
     found = order_statistics(df, key, value, {"p95_ms": 0.95, "p99_ms": 0.99})
     return found.join(ends, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
@@ -91,3 +118,26 @@ def linear_ticks(low: Column, high: Column, n: int = 5) -> Column:
 
 def log_ticks(low: Column, high: Column, n: int = 6) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.exp(F.ln(low) + (F.ln(high) - F.ln(low)) * i / float(n - 1)))
+
+
+def label(name: Column, objects: Column, tiering: Column, buckets: Column) -> Column:
+    """A result's label: its name and, in brackets, its objects and the settings that it has."""
+    parts = F.concat_ws(", ", F.concat(objects.cast("string"), F.lit(" objects")), F.concat(F.lit("tiering "), tiering.cast("string")), F.when(buckets > 0, F.concat(buckets.cast("string"), F.lit(" buckets"))))
+    return F.concat(name, F.lit(" ("), parts, F.lit(")"))
+
+
+def display_name(name: Column, names: dict[str, str]) -> Column:
+    """The name that a backend is shown under; its own if it has no other."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), name), name)
+
+
+def backends(results: DataFrame, names: dict[str, str]) -> DataFrame:
+    """benchmark_name, shown of each backend that has results, in order of its name."""
+    each = results.select("benchmark_name").distinct()
+    return each.select("benchmark_name", display_name(F.col("benchmark_name"), names).alias("shown")).orderBy("benchmark_name")
+
+
+def system_summary(samples: DataFrame, key: str, order: str, peaks: list[str], counters: list[str]) -> DataFrame:
+    """key, the peak of each gauge and the growth of each counter from the first sample to the last (never below 0)."""
+    growth = lambda c: F.greatest(F.max_by(c, order) - F.min_by(c, order), F.lit(0))
+    return samples.groupBy(key).agg(*[F.max(c).alias(f"peak_{c}") for c in peaks], *[growth(c).alias(f"total_{c}") for c in counters])

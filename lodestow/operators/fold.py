@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestow.functions.scalars import ceil_pow2
+from lodestow.operators.neighbours import sums_before, with_number, with_previous
+
 
 def latest(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """The last row of each key. max_by folds on the map side, so a hot key is one row a task."""
@@ -39,45 +42,65 @@ def compact(base: DataFrame, log: DataFrame) -> DataFrame:
 
 def versions(log: DataFrame) -> DataFrame:
     """Every commit of a key, newest first as version 1."""
-    order = Window.partitionBy("key").orderBy(F.col("seq").desc())
-    return log.where("op = 'commit'").withColumn("version", F.row_number().over(order))
+    return with_number(log.where("op = 'commit'"), "key", "seq", "version", descending=True)
 
 
-def gap_free(ids: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
+def gap_free(ids: DataFrame, column: str, buckets: int = 1024, most: int = 1 << 20) -> DataFrame:
     """The longest prefix of ids 0, 1, 2, ... without a gap, in any number of rows.
 
-    An id belongs to it if no id below it is missing. The least missing id is one more than the greatest id of the run that
-    starts at 0; runs are found per range of ids, so no task orders all of them.
+    An id belongs to it if no id below it is missing. Ids are counted by ranges; the first range that is not full is cut
+    into ranges in turn, until one is left that holds `most` ids at most and is searched by one task.
     """
-    rows = ids.select(F.col(column).cast("long").alias("id")).distinct()
+    rows = ids.select(F.col(column).cast("long").alias("id")).where("id >= 0").distinct()
     top = rows.agg(F.max("id")).first()[0]
-    width = 1 if top is None else top // buckets + 1
-    full = rows.groupBy(F.floor(F.col("id") / width).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    states = full.orderBy("part").collect()  # at most `buckets` rows and one
-    broken = next((k for k, r in enumerate(states) if r["part"] != k or r["n"] < width), len(states))
-    place = F.row_number().over(Window.orderBy("id")) - 1 + broken * width
-    tail = rows.where(F.floor(F.col("id") / width) == broken).withColumn("k", place)
-    stop = tail.where("id = k").agg(F.coalesce(F.max("id") + 1, F.lit(broken * width))).first()[0]
-    return ids.where(F.col(column) < stop)
+    low, high = 0, 0 if top is None else top + 1
+    while high - low > most:
+        width = -(-(high - low) // buckets)
+        part = F.floor((F.col("id") - low) / width).cast("long")
+        # at most `buckets` rows
+        full = {r["part"]: r["n"] for r in rows.where((F.col("id") >= low) & (F.col("id") < high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        ends = [(low + k * width, min(high, low + (k + 1) * width)) for k in range(-(-(high - low) // width))]
+        low, high = next(((a, b) for k, (a, b) in enumerate(ends) if full.get(k, 0) < b - a), (high, high))
+    part = rows.where((F.col("id") >= low) & (F.col("id") < high)).withColumn("k", F.row_number().over(Window.orderBy("id")) - 1 + F.lit(low))
+    stop = part.where("id = k").agg(F.coalesce(F.max("id") + 1, F.lit(low))).first()[0]
+    return ids.where((F.col(column) >= 0) & (F.col(column) < stop))
+
+
+def virtual_tail(flushes: DataFrame, page: int, span: int = 1 << 16) -> DataFrame:
+    """flush_id, length, tail: the running sum of lengths padded to pages, in order of flush_id (from 0, unique)."""
+    padded = flushes.withColumn("padded", (F.ceil(F.col("length") / page) * page).cast("long"))
+    top = padded.agg(F.max("flush_id")).first()[0] or 0
+    before = sums_before(padded, "flush_id", "padded", top, span)
+    return padded.join(before, "flush_id").select("flush_id", "length", (F.col("before") + F.col("padded")).alias("tail"))
 
 
-def virtual_tail(flushes: DataFrame, page: int, span: int = 1024) -> DataFrame:
-    """flush_id, length, tail: the running sum of lengths padded to pages, in order of flush_id.
+def transitions(log: DataFrame) -> DataFrame:
+    """op, next_op, n: how often an operation follows another on a key; the last of a key has none."""
+    after = with_previous(log.select("key", "seq", "op"), "key", "seq", "op", "next_op", descending=True)
+    return after.groupBy("op", "next_op").agg(F.count(F.lit(1)).alias("n"))
 
-    Sums go by ranges of `span` ids, then a prefix over the ranges' totals: one row each.
-    """
-    padded = flushes.withColumn("padded", (F.ceil(F.col("length") / page) * page).cast("long")).withColumn("part", F.floor(F.col("flush_id") / span))
-    inside = F.sum("padded").over(Window.partitionBy("part").orderBy("flush_id"))
-    totals = padded.groupBy("part").agg(F.sum("padded").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return padded.withColumn("inside", inside).join(before, "part").select("flush_id", "length", (F.col("before") + F.col("inside")).alias("tail"))
 
+def last_states(log: DataFrame) -> DataFrame:
+    """state, n, bytes: how many objects are in each state of their life, by the last operation on each."""
+    state = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
+    last = latest(log).select(F.coalesce(F.try_element_at(state, F.col("op")), F.lit("unknown")).alias("state"), "size")
+    return last.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def counters(log: DataFrame) -> DataFrame:
+    """One row: operations and bytes by kind, bytes as pages hold them, objects ever committed, commits that replaced one."""
+    of = lambda op: F.col("op") == op
+    count = lambda op: F.count(F.when(of(op), 1))
+    total = lambda op, c: F.coalesce(F.sum(F.when(of(op), c)), F.lit(0))
+    size, objects = F.col("size"), F.countDistinct(F.when(of("commit"), F.col("key")))
+    return log.agg(
+        count("create").alias("created"), count("commit").alias("committed"), count("delete").alias("deleted"), count("read").alias("reads"), total("read", size).alias("read_bytes"),
+        count("write").alias("writes"), total("write", size).alias("written_bytes"), total("write", ceil_pow2(size, 9)).alias("padded_bytes"), objects.alias("objects"), (count("commit") - objects).alias("replaced"),
+    )
 
-def transitions(log: DataFrame) -> DataFrame:
-    """op, next_op, n: how often an operation follows another on a key; the last of a key has none."""
-    after = F.lead("op").over(Window.partitionBy("key").orderBy("seq"))
-    return log.withColumn("next_op", after).groupBy("op", "next_op").agg(F.count(F.lit(1)).alias("n"))
 
+#: The state that an operation leaves an object in.
+STATES = {"create": "incomplete", "write": "incomplete", "commit": "committed", "read": "committed", "delete": "deleted"}
 
 #: What may follow what in an object's life.
 LEGAL = {"create": ("write", "commit", "delete"), "write": ("write", "commit", "delete"), "commit": ("read", "delete", "create"), "read": ("read", "delete", "create"), "delete": ("create",)}
@@ -94,7 +117,13 @@ def incomplete_receipts(parts: DataFrame, receipts: DataFrame) -> DataFrame:
     return asked.join(receipts, ["key", "part"], "left_anti")
 
 
+def listed_receipts(uploads: DataFrame) -> DataFrame:
+    """key, part of uploads (key, receipts: numbers with commas between); spaces, blanks and other text are no receipts."""
+    each = uploads.select("key", F.explode(F.split("receipts", ",")).alias("text")).select("key", F.trim("text").alias("text"))
+    return each.where(F.col("text").rlike(r"^\d{1,18}$")).select("key", F.col("text").cast("long").alias("part")).distinct()
+
+
 def contiguous(reads: DataFrame) -> DataFrame:
     """reads (key, seq, start, stop) with whether each begins where the one before ended (the first at 0)."""
-    before = F.coalesce(F.lag("stop").over(Window.partitionBy("key").orderBy("seq")), F.lit(0))
-    return reads.withColumn("contiguous", F.col("start") == before)
+    before = with_previous(reads, "key", "seq", "stop", "_lodestow_before")
+    return before.withColumn("contiguous", F.col("start") == F.coalesce("_lodestow_before", F.lit(0))).drop("_lodestow_before")

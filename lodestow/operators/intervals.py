@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestow.operators.neighbours import CELL, with_previous
 
-def merge_writes(writes: DataFrame, group: str = "case") -> DataFrame:
-    """group, seq, offset, length of what is left of each write (group, seq, offset, length).
 
-    Boundaries cut a group's line into segments; each write is exploded over the segments it covers, the latest of a segment
-    wins by a map-side maximum, and neighbours of the same write join again. Work is bounded by covered segments.
+def _pieces(start: Column, stop: Column) -> Column:
+    """The aligned power-of-two ranges (level, index) that make up start to stop: two a level at most."""
+    at = lambda k: F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+    end = lambda k: F.call_function("shiftright", stop, k)
+    odd = lambda n: n.bitwiseAND(F.lit(1)) == 1
+    piece = lambda k, n: F.struct(k.alias("level"), n.alias("index"))
+    taken = lambda k: F.filter(F.array(F.when(odd(at(k)) & (at(k) < end(k)), piece(k, at(k))), F.when(odd(end(k)) & (at(k) < end(k)), piece(k, end(k) - 1))), lambda p: p.isNotNull())
+    # pieces are no longer than the range
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(stop - start)) - 1), taken))
+
+
+def merge_writes(writes: DataFrame, group: str = "case", cell: int = CELL) -> DataFrame:
+    """group, seq, offset, length of what is left of each write (group, seq, offset, length); seq is unique in a group.
+
+    A write is cut into aligned ranges, fewer than two for each bit of its length, and the latest write of each range is a
+    map-side maximum. Every boundary of the group asks the ranges it lies in, one a level, for the latest of them (ranges
+    of 2^cell offsets and more are asked once for all boundaries of a cell); where that changes from one boundary to the
+    next a fragment begins. No task holds a group, however many writes it has.
     """
-    real = writes.where("length > 0").select(group, "seq", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"))
-    cuts = real.groupBy(group).agg(F.array_sort(F.collect_set("start")).alias("a"), F.array_sort(F.collect_set("stop")).alias("b")).select(group, F.array_sort(F.array_union("a", "b")).alias("cuts"))
-    held = real.join(cuts, group).select(group, "seq", F.explode(F.filter(F.arrays_zip(F.col("cuts").alias("x"), F.slice("cuts", 2, F.size("cuts")).alias("y")), lambda s: s["y"].isNotNull() & (s["x"] >= F.col("start")) & (s["y"] <= F.col("stop")))).alias("s"))
-    won = held.groupBy(group, F.col("s.x").alias("x"), F.col("s.y").alias("y")).agg(F.max("seq").alias("seq"))
-    order = Window.partitionBy(group).orderBy("x")
-    new = F.coalesce((F.lag("seq").over(order) != F.col("seq")) | (F.lag("y").over(order) != F.col("x")), F.lit(True))
-    island = won.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
-    return island.groupBy(group, "island", "seq").agg(F.min("x").alias("offset"), (F.max("y") - F.min("x")).alias("length")).drop("island")
+    real = writes.where("length > 0").select(group, F.col("seq").cast("long").alias("seq"), F.col("offset").cast("long").alias("start"), (F.col("offset") + F.col("length")).cast("long").alias("stop"))
+    pieces = real.select(group, "seq", F.explode(_pieces(F.col("start"), F.col("stop"))).alias("p"))
+    latest = pieces.groupBy(group, "p.level", "p.index").agg(F.max("seq").alias("seq"))
+    # no range is longer than the longest write
+    longest = real.agg(F.coalesce(F.max(F.col("stop") - F.col("start")), F.lit(1))).first()[0]
+    places = real.select(group, F.explode(F.array("start", "stop")).alias("x")).distinct()
+
+    def asked(rows: DataFrame, place: str, low: int, high: int) -> DataFrame:
+        levels = rows.select(group, place, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level"))
+        return levels.withColumn("index", F.call_function("shiftright", F.col(place), F.col("level"))).join(latest, [group, "level", "index"], "left").groupBy(group, place).agg(F.max("seq").alias("seq"))
+
+    top = longest.bit_length() - 1
+    won = asked(places, "x", 0, min(top, cell - 1))
+    if top >= cell:
+        base = (F.shiftright("x", cell) * (1 << cell)).alias("base")
+        wide = asked(places.select(group, base).distinct(), "base", cell, top).withColumnRenamed("seq", "wide")
+        won = won.select(group, "x", "seq", base).join(wide, [group, "base"]).select(group, "x", F.greatest("seq", "wide").alias("seq"))
+    new = with_previous(won, group, "x", "seq", "before").where(~F.col("seq").eqNullSafe(F.col("before")))
+    ends = with_previous(new.drop("before"), group, "x", "x", "end", descending=True).where("seq IS NOT NULL")
+    kind = writes.schema["seq"].dataType
+    return ends.select(group, F.col("seq").cast(kind).alias("seq"), F.col("x").alias("offset"), (F.col("end") - F.col("x")).alias("length"))
 
 
 def merge_bytes(writes: DataFrame, group: str = "case") -> DataFrame:
