@@ -42,8 +42,8 @@ def is_multiple_of_pow2(n: Column, k: int) -> Column:
 
 
 def ilog2(n: Column) -> Column:
-    """Floor of the binary logarithm of a positive integer; exact, unlike the floating one."""
-    return F.length(F.bin(n.cast("long"))) - 1
+    """Floor of the binary logarithm of a positive integer, else null; exact, unlike the floating one."""
+    return F.when(n > 0, F.length(F.bin(n.cast("long"))) - 1)
 
 
 def next_pow2_log(n: Column) -> Column:

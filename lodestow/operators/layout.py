@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestow.functions import scalars as X
+from lodestow.operators.neighbours import with_sum
 
 #: Logarithms of the page sizes that tests use.
 SPAGE, LPAGE = 9, 12
@@ -84,40 +84,37 @@ def occupancy(keys: DataFrame, bundles: int, capacity: int) -> DataFrame:
 
 
 def merged_free(free: DataFrame, lowest: int, highest: int) -> DataFrame:
-    """Free pages (page_log2, page) after releasing: both halves of a pair become the page above, level by level."""
+    """Free pages (page_log2, page) after releasing: both halves of a pair become the page above, level by level.
+
+    A page that is listed twice is one page.
+    """
+    free = free.distinct()
     found, now = None, free.where(F.col("page_log2") == lowest).select("page")
     for level in range(lowest, highest):
-        pair = now.groupBy(F.shiftright("page", 1).alias("page")).agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("half"))
-        alone = pair.where("n = 1").select(F.lit(level).alias("page_log2"), F.col("half").alias("page"))
+        pair = now.groupBy(F.shiftright("page", 1).alias("page")).agg(F.min("page").alias("low"), F.max("page").alias("high"))
+        alone = pair.where("low = high").select(F.lit(level).alias("page_log2"), F.col("low").alias("page"))
         found = alone if found is None else found.union(alone)
-        now = pair.where("n = 2").select("page").union(free.where(F.col("page_log2") == level + 1).select("page"))
+        now = pair.where("low < high").select("page").union(free.where(F.col("page_log2") == level + 1).select("page")).distinct()
     last = now.select(F.lit(highest).alias("page_log2"), "page")
     return last if found is None else found.union(last)
 
 
-def allocate(requests: DataFrame, capacity_log2: int, lowest: int) -> DataFrame:
-    """requests (partition, seq, page_log2) with the page a buddy allocator gives each, null when there is none.
+def space_demand(requests: DataFrame) -> DataFrame:
+    """partition, page_log2, n, bytes of requests (partition, page_log2)."""
+    n = F.count(F.lit(1))
+    return requests.groupBy("partition", "page_log2").agg(n.alias("n")).withColumn("bytes", F.expr("n * shiftleft(CAST(1 AS BIGINT), page_log2)"))
 
-    Lowest page of the smallest size that suffices, split downwards. Partitions are independent and each is a sequence.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        free: dict[int, set[int]] = {k: set() for k in range(lowest, capacity_log2 + 1)}
-        free[capacity_log2].add(0)
-        out = []
-        for want in rows.sort_values("seq")["page_log2"]:
-            have = next((k for k in range(want, capacity_log2 + 1) if free[k]), None)
-            page = None
-            if have is not None:
-                page = min(free[have])
-                free[have].remove(page)
-                while have > want:
-                    have, page = have - 1, page * 2
-                    free[have].add(page + 1)
-            out.append(page)
-        return rows.sort_values("seq").assign(page=pd.array(out, "Int64"))
-
-    return requests.select("partition", "seq", "page_log2").groupBy("partition").applyInPandas(run, "partition long, seq long, page_log2 int, page long")
+def first_refused(requests: DataFrame, capacity: int) -> DataFrame:
+    """partition, seq of the first request (partition, seq, page_log2) that the pages before it leave no room for in capacity
+    bytes; null where all fit."""
+    upto = with_sum(requests, "partition", "seq", F.expr("shiftleft(CAST(1 AS BIGINT), page_log2)"), "upto")
+    return upto.groupBy("partition").agg(F.min(F.when(F.col("upto") > capacity, F.col("seq"))).alias("seq"))
+
+
+def free_bounds(free: DataFrame) -> DataFrame:
+    """page_log2, lowest, highest free page of each size."""
+    return free.groupBy("page_log2").agg(F.min("page").alias("lowest"), F.max("page").alias("highest"))
 
 
 def lowest_fitting(free: DataFrame, want: int) -> DataFrame:
@@ -128,5 +125,3 @@ def lowest_fitting(free: DataFrame, want: int) -> DataFrame:
 def freest_bundle(bundles: DataFrame) -> DataFrame:
     """Of bundles (bundle, free, dirty): the lowest free one that is dirty, else the lowest free one."""
     return bundles.where("free").agg(F.coalesce(F.min(F.when(F.col("dirty"), F.col("bundle"))), F.min("bundle")).alias("bundle"))
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from lodestow.functions import formats as fmt
 from lodestow.functions import scalars as X
 from lodestow.operators import benchmarks, capacity, catalogue, fold, intervals, layout, tokens
+from lodestow.operators.neighbours import CELL, with_number
 from lodestow.plans.views import bench, load, objects, op_log, with_views, writes
 from lodestow.session import scratch
-from lodestow.sources import frames
+from lodestow.sources import frames, results
 from lodestow.streaming import compaction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,12 +209,14 @@ _VERSIONS = "SELECT key, seq, size, row_number() OVER (PARTITION BY key ORDER BY
 
 @query(f"{with_views('op_log')} SELECT key, seq, size FROM ({_VERSIONS}) WHERE version = 1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.versions(op_log(spark, sf_dir)).where("version = 1").select("key", "seq", "size")
+    return fold.latest(op_log(spark, sf_dir).where("op = 'commit'")).select("key", "seq", "size")
 
 
-@query(f"{with_views('op_log')} SELECT key, seq, version FROM ({_VERSIONS}) WHERE seq % 7 = 3")
+@query(f"{with_views('op_log')} SELECT key, seq, version FROM ({_VERSIONS}) JOIN (SELECT DISTINCT o_orderkey AS id FROM orders) ON id = seq")
 def version_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.versions(op_log(spark, sf_dir)).where("seq % 7 = 3").select("key", "seq", "version")
+    """The versions that a table of ids asks for."""
+    asked = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"))
+    return fold.versions(op_log(spark, sf_dir)).join(asked, "seq", "left_semi").select("key", "seq", "version")
 
 
 @query(f"{with_views('op_log')} SELECT key, seq, size, version FROM ({_VERSIONS})")
@@ -225,10 +229,12 @@ def dedupe_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.latest(load(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query(f"{with_views('op_log')}, f AS (SELECT seq AS id FROM op_log WHERE seq % 97 <> 13) SELECT id FROM f WHERE id < (SELECT min(r.k) FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS k, id FROM f) r WHERE r.k <> r.id)")
+@query(f"{with_views('op_log')}, f AS (SELECT seq AS id FROM op_log WHERE seq <> (SELECT max(seq) * 3 // 4 FROM op_log)) SELECT id FROM f WHERE id < (SELECT min(r.k) FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS k, id FROM f) r WHERE r.k <> r.id)")
 def flush_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = op_log(spark, sf_dir).where("seq % 97 <> 13").select(F.col("seq").alias("id"))
-    return fold.gap_free(ids, "id")
+    """Flushes from the first to the one that is missing, three quarters on."""
+    log = op_log(spark, sf_dir)
+    lost = (log.agg(F.max("seq")).first()[0] or 0) * 3 // 4
+    return fold.gap_free(log.where(F.col("seq") != lost).select(F.col("seq").alias("id")), "id")
 
 
 @query(f"{with_views('op_log')}, f AS (SELECT seq // 10 AS flush_id, (sum(size) * 10)::BIGINT AS length FROM op_log GROUP BY 1) SELECT flush_id, length, (sum((length + 511) // 512 * 512) OVER (ORDER BY flush_id))::BIGINT AS tail FROM f")
@@ -324,10 +330,26 @@ def buddy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merged_free(free, 9, 11)
 
 
-@query()
-def buddy_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = load(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("partition"), F.col("p_partkey").alias("seq"), (9 + F.col("p_size") % 4).cast("int").alias("page_log2"))
-    return layout.allocate(wanted, 18, 9)
+_REQUESTS = "r AS (SELECT p_partkey % 7 AS partition, p_partkey AS seq, (9 + p_size % 4)::INT AS page_log2 FROM part)"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("partition"), F.col("p_partkey").alias("seq"), (9 + F.col("p_size") % 4).cast("int").alias("page_log2"))
+
+
+@query(f"WITH {_REQUESTS} SELECT partition, page_log2, count(*) AS n, (count(*) * (1 << page_log2))::BIGINT AS bytes FROM r GROUP BY partition, page_log2")
+def space_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.space_demand(_requests(spark, sf_dir))
+
+
+@query(f"WITH {_REQUESTS}, u AS (SELECT partition, seq, sum(1 << page_log2) OVER (PARTITION BY partition ORDER BY seq) AS upto FROM r) SELECT partition, min(seq) FILTER (upto > 40000) AS seq FROM u GROUP BY partition")
+def first_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.first_refused(_requests(spark, sf_dir), 40_000)
+
+
+@query("SELECT p_size AS page_log2, min(p_partkey) AS lowest, max(p_partkey) AS highest FROM part GROUP BY p_size")
+def free_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.free_bounds(load(spark, sf_dir, "part").select(F.col("p_size").alias("page_log2"), F.col("p_partkey").alias("page")))
 
 
 @query("SELECT p_size AS page_log2, p_partkey AS page FROM part WHERE p_size >= 12 ORDER BY p_size, p_partkey LIMIT 1")
@@ -358,10 +380,10 @@ def bundle_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scalars
 
 
-@query("SELECT p_partkey AS n, (p_partkey + 6) // 7 AS div_ceil, p_partkey >> 3 AS div_pow2, p_partkey & 7 AS mod_pow2, p_partkey << 3 AS mul_pow2, (p_partkey + 7) // 8 * 8 AS ceil_pow2, p_partkey // 8 * 8 AS floor_pow2, p_partkey % 8 = 0 AS is_multiple, length(ltrim(bin(p_partkey), '0')) - 1 AS ilog2, greatest(p_partkey - 100, 0) AS saturating FROM part WHERE p_partkey > 0")
+@query("SELECT p_partkey AS n, (p_partkey + 6) // 7 AS div_ceil, p_partkey >> 3 AS div_pow2, p_partkey & 7 AS mod_pow2, p_partkey << 3 AS mul_pow2, (p_partkey + 7) // 8 * 8 AS ceil_pow2, p_partkey // 8 * 8 AS floor_pow2, p_partkey % 8 = 0 AS is_multiple, CASE WHEN p_partkey > 0 THEN length(ltrim(bin(p_partkey), '0')) - 1 END AS ilog2, greatest(p_partkey - 100, 0) AS saturating FROM part")
 def scalar_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
-    return load(spark, sf_dir, "part").where("p_partkey > 0").select(
+    return load(spark, sf_dir, "part").select(
         n.alias("n"), X.div_ceil(n, 7).alias("div_ceil"), X.div_pow2(n, 3).alias("div_pow2"), X.mod_pow2(n, 3).alias("mod_pow2"), X.mul_pow2(n, 3).alias("mul_pow2"), X.ceil_pow2(n, 3).alias("ceil_pow2"),
         X.floor_pow2(n, 3).alias("floor_pow2"), X.is_multiple_of_pow2(n, 3).alias("is_multiple"), X.ilog2(n).cast("long").alias("ilog2"), X.saturating_sub(n, F.lit(100)).alias("saturating"),
     )
@@ -378,11 +400,13 @@ def key_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(spark, sf_dir).select("key", X.base64url(key.cast("binary")).alias("encoded"), X.unbase64url(X.base64url(key.cast("binary"))).cast("string").alias("decoded"), X.percent_encode(key).alias("percent"))
 
 
-@query(f"{with_views('objects')} SELECT key, start, least(stop, size) AS stop, 'bytes ' || start || '-' || (least(stop, size) - 1) || '/' || size AS content_range FROM (SELECT *, size // 3 AS start, size // 3 + 101 AS stop FROM objects) WHERE size > 300")
+@query(f"{with_views('objects')} SELECT key, CASE WHEN ok THEN start END AS start, CASE WHEN ok THEN least(stop, size) END AS stop, CASE WHEN ok THEN 'bytes ' || start || '-' || (least(stop, size) - 1) || '/' || size END AS content_range FROM (SELECT *, size // 3 + 200 AS start, size // 3 + 301 AS stop, size // 3 + 200 < size AS ok FROM objects)")
 def http_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = F.concat(F.lit("bytes="), F.expr("size div 3").cast("string"), F.lit("-"), (F.expr("size div 3") + 100).cast("string"))
-    found = objects(spark, sf_dir).where("size > 300").select("key", "size", X.http_range(header, F.col("size")).alias("r"))
-    stop = F.least("r.stop", "size")
+    """A range of each object; null where it begins past the object's end."""
+    header = F.concat(F.lit("bytes="), (F.expr("size div 3") + 200).cast("string"), F.lit("-"), (F.expr("size div 3") + 300).cast("string"))
+    found = objects(spark, sf_dir).select("key", "size", X.http_range(header, F.col("size")).alias("r"))
+    found = found.withColumn("r", F.when(F.col("r.start") < F.col("size"), F.col("r")))
+    stop = F.when(F.col("r").isNotNull(), F.least("r.stop", "size"))
     return found.select("key", "r.start", stop.alias("stop"), X.content_range(F.col("r.start"), stop, F.col("size")).alias("content_range"))
 
 
@@ -509,11 +533,9 @@ def tokens_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{with_views('objects')} SELECT key, size, upper(md5(data)) AS digest FROM objects WHERE octet_length(encode(key)) < 65536")
 def batch_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects as streams of frames, one for each placement partition and 64 of its hashes, decoded again."""
-    rows = objects(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), "data", X.bucket_of(F.col("key"), 10).alias("stream"))
-    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", F.hex("frame").alias("f")))), lambda x: x["f"]), "")
-    streams = frames.encode(rows).groupBy("stream").agg(F.unhex(digits).alias("content"))
-    return frames.decode(streams).select(F.col("key").cast("string").alias("key"), "size", F.upper(F.md5("data")).alias("digest"))
+    """Objects as streams of frames of some megabytes, decoded again."""
+    rows = objects(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), "data")
+    return frames.decode(frames.in_streams(frames.encode(rows))).select(F.col("key").cast("string").alias("key"), "size", F.upper(F.md5("data")).alias("digest"))
 
 
 @query(f"{with_views('op_log')} SELECT key, seq, size FROM ({_LAST}) WHERE op <> 'delete'")
@@ -525,3 +547,167 @@ def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
     compaction.compact_stream(stream, f"{folder}/base", f"{folder}/checkpoint")
     return compaction.current(spark, f"{folder}/base")
+
+
+@query(f"{with_views('op_log')} SELECT key, seq, op, coalesce(size, 0) AS size FROM ({_LAST})")
+def stream_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream into keyed state; what the state says last of each key."""
+    folder = scratch(spark, "overlay")
+    parts = op_log(spark, sf_dir).select("key", "seq", "op", "size")
+    parts.write.parquet(f"{folder}/log")
+    states = compaction.overlay_states(spark.readStream.schema(parts.schema).parquet(f"{folder}/log"))
+    # timeouts by the clock keep a query running until it is stopped, so it gets one batch
+    sink = states.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/states/batch={n}"))
+    sink.option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    return fold.latest(spark.read.schema(states.schema).parquet(f"{folder}/states").where("not evicted")).select("key", "seq", "op", "size")
+
+
+# Life cycle, receipts, counters
+
+
+_STATE = "CASE op " + " ".join(f"WHEN '{op}' THEN '{state}'" for op, state in fold.STATES.items()) + " ELSE 'unknown' END"
+
+
+@query(f"{with_views('op_log')} SELECT {_STATE} AS state, count(*) AS n, coalesce(sum(size), 0)::BIGINT AS bytes FROM ({_LAST}) GROUP BY 1")
+def objects_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.last_states(op_log(spark, sf_dir))
+
+
+@query("SELECT DISTINCT o_custkey AS key, o_orderkey % 5 AS part FROM orders WHERE o_orderstatus <> 'P'")
+def receipts_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts that come as a list with commas, blanks among them."""
+    part = (F.col("o_orderkey") % 5).cast("string")
+    orders = load(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("key"), F.concat(part, F.lit(", ,"), part).alias("receipts"))
+    return fold.listed_receipts(orders)
+
+
+@query(
+    f"""{with_views("op_log")} SELECT count(*) FILTER (op = 'create') AS created, count(*) FILTER (op = 'commit') AS committed, count(*) FILTER (op = 'delete') AS deleted, count(*) FILTER (op = 'read') AS reads,
+  coalesce(sum(size) FILTER (op = 'read'), 0)::BIGINT AS read_bytes, count(*) FILTER (op = 'write') AS writes, coalesce(sum(size) FILTER (op = 'write'), 0)::BIGINT AS written_bytes,
+  coalesce(sum((size + 511) // 512 * 512) FILTER (op = 'write'), 0)::BIGINT AS padded_bytes, count(DISTINCT key) FILTER (op = 'commit') AS objects, count(*) FILTER (op = 'commit') - count(DISTINCT key) FILTER (op = 'commit') AS replaced FROM op_log"""
+)
+def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.counters(op_log(spark, sf_dir))
+
+
+@query(f"{with_views('op_log')} SELECT op AS name, count(*) AS value FROM op_log GROUP BY op")
+def metrics_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters as a result document holds them, a map, and as rows again."""
+    counted = op_log(spark, sf_dir).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    document = counted.agg(F.map_from_entries(F.collect_list(F.struct("op", "n"))).alias("store_metrics"))
+    return document.select(F.explode("store_metrics").alias("name", "value"))
+
+
+# Results: files, labels, names, system metrics
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bench(spark, sf_dir)
+    return rows.select(F.col("benchmark").alias("benchmark_name"), "objects", "object_size", F.struct(F.struct("exec_secs").alias("write")).alias("op"))
+
+
+@query(f"{with_views('op_log', 'bench')} SELECT benchmark AS benchmark_name, objects AS file_objects, object_size AS file_size, objects, object_size, round(exec_secs, 6) AS exec_secs FROM bench")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result documents written as files and found again by their names."""
+    folder = scratch(spark, "results")
+    folder = folder if "://" in folder else f"file://{folder}"
+    results.write(_documents(spark, sf_dir), folder).count()
+    return results.read(spark, folder).select("benchmark_name", "file_objects", "file_size", "objects", "object_size", F.round("op.write.exec_secs", 6).alias("exec_secs"))
+
+
+@query(f"{with_views('op_log', 'bench')} SELECT benchmark, object_size, benchmark || ' (' || objects || ' objects' || CASE WHEN object_size > 1024 THEN ', tiering true' ELSE '' END || CASE WHEN objects % 3 > 0 THEN ', ' || objects % 3 || ' buckets' ELSE '' END || ')' AS label FROM bench")
+def result_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiering = F.when(F.col("object_size") > 1024, F.lit(True))
+    return bench(spark, sf_dir).select("benchmark", "object_size", benchmarks.label(F.col("benchmark"), F.col("objects"), tiering, F.col("objects") % 3).alias("label"))
+
+
+@query(f"{with_views('op_log', 'bench')} SELECT DISTINCT benchmark AS benchmark_name, CASE benchmark WHEN 'create' THEN 'Creation' WHEN 'read' THEN 'Reading' ELSE benchmark END AS shown FROM bench")
+def backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.backends(_documents(spark, sf_dir), {"create": "Creation", "read": "Reading"})
+
+
+@query(f"{with_views('op_log')} SELECT op, max(latency_ms) AS peak_memory, greatest(max_by(size, seq) - min_by(size, seq), 0) AS total_reads, greatest(max_by(key, seq) - min_by(key, seq), 0) AS total_writes FROM op_log GROUP BY op")
+def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's figures read as samples of a gauge and of two counters."""
+    samples = op_log(spark, sf_dir).select("op", "seq", F.col("latency_ms").alias("memory"), F.col("size").alias("reads"), F.col("key").alias("writes"))
+    return benchmarks.system_summary(samples, "op", "seq", ["memory"], ["reads", "writes"])
+
+
+# Tokens, codecs and layout that other queries don't reach
+
+
+_SECRET = b"a secret that is longer than one block of the hash, so that it has to be hashed itself first"
+
+
+def _hmac_sql(secret: bytes, message: str) -> str:
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in key).hex() for x in (0x36, 0x5C))
+    return f"unhex(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message}))))"
+
+
+def _base64url_sql(data: str) -> str:
+    return f"rtrim(translate(to_base64({data}), '+/', '-_'), '=')"
+
+
+_EXPIRES = "unhex(format('{:016x}', 1000 + size))"
+_FIELDS = "unhex('0004') || 'read'::BLOB || unhex(format('{:08x}', octet_length(encode(key)))) || encode(key) || " + _EXPIRES
+_TOKEN = _base64url_sql(_EXPIRES + " || " + _hmac_sql(_SECRET, _FIELDS))
+
+
+@query(f"{with_views('objects')} SELECT key, {_TOKEN} AS token FROM objects")
+def token_macs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects(spark, sf_dir).select("key", tokens.token(_SECRET, F.lit("read"), F.col("key").cast("binary"), 1000 + F.col("size")).alias("token"))
+
+
+_UPLOAD = "unhex(format('{:016x}', p_partkey)) || unhex(format('{:016x}', p_size::BIGINT))"
+
+
+@query(f"SELECT p_partkey, {_base64url_sql(_hmac_sql(_SECRET, _UPLOAD) + ' || ' + _UPLOAD)} AS token, p_partkey AS upload, p_size::BIGINT AS size, true AS forged FROM part")
+def upload_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload tokens, what is read from them, and whether one of another secret is refused."""
+    made = load(spark, sf_dir, "part").select("p_partkey", *[tokens.upload_token(s, F.col("p_partkey"), F.col("p_size")).alias(n) for s, n in ((_SECRET, "token"), (b"another", "other"))])
+    opened = lambda c: tokens.opened_upload(_SECRET, F.col(c))
+    return made.select("p_partkey", "token", opened("token")["upload"].alias("upload"), opened("token")["size"].alias("size"), opened("other").isNull().alias("forged"))
+
+
+@query(f"{with_views('objects')} SELECT key, 'http://host/' || replace(url_encode(key), '+', '%20') || '?t=T' AS url FROM objects")
+def presigned_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects(spark, sf_dir).select("key", tokens.presigned_url("http://host", F.col("key"), F.lit("T")).alias("url"))
+
+
+@query(f"{with_views('objects')} SELECT key, CASE WHEN octet_length(encode(key)) % 2 = 0 THEN 'lit:' || key ELSE 'hex:' || 'ff' || substr(lower(hex(data)), 1, 24) || CASE WHEN size + 1 > 13 THEN '…(' || (size + 1) || ')' ELSE '' END END AS shown FROM objects")
+def key_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and strings of bytes that are none, as keys."""
+    key = F.when(F.octet_length("key") % 2 == 0, F.col("key").cast("binary")).otherwise(F.concat(F.lit(bytearray(b"\xff")), F.col("data")))
+    return objects(spark, sf_dir).select("key", X.key_text(key).alias("shown"))
+
+
+def _little_sql(width: int) -> str:
+    digits = f"format('{{:0{2 * width}X}}', p_partkey * 37)"
+    return f"array_to_string(list_reverse(list_transform(range(0, {width}), lambda k: {digits}[2 * k + 1:2 * k + 2])), '')"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"format('{{:0{2 * w}X}}', p_partkey * 37) AS be{8 * w}, {_little_sql(w)} AS le{8 * w}" for w in (3, 5, 8)) + ", p_partkey * 37 AS back FROM part")
+def int_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey") * 37
+    both = [c for w in (3, 5, 8) for c in (F.hex(X.bytes_be(n, w)).alias(f"be{8 * w}"), F.hex(X.reversed_bytes(X.bytes_be(n, w))).alias(f"le{8 * w}"))]
+    return load(spark, sf_dir, "part").select("p_partkey", *both, X.int_be(X.bytes_be(n, 5)).alias("back"))
+
+
+@query(
+    f"""{with_views("objects")}, c AS (SELECT key, list_sort(list_distinct(list_concat([size // 3, size], list_filter(range(0, size, {1 << LP}), lambda x: x > size // 3)))) AS e FROM objects), s AS (
+  SELECT key, e[i] AS a, e[i + 1] AS b FROM (SELECT *, unnest(range(1, len(e))) AS i FROM c)), p AS (SELECT key, b, unnest(range(a, b, 1000)) AS start FROM s)
+SELECT key, start, least(1000, b - start) AS bytes FROM p"""
+)
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a read of each object's last two thirds yields through a buffer of 1000 bytes."""
+    pieces = F.explode(layout.chunks(F.col("size"), F.expr("size div 3"), F.col("size"), 1000)).alias("c")
+    return objects(spark, sf_dir).select("key", pieces).select("key", "c.start", "c.bytes")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY " + HASH.format("'9:' || p_partkey") + ")::INT AS place FROM part")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows in an order that a seed determines, numbered by ranges of their hashes."""
+    rows = load(spark, sf_dir, "part").select("p_partkey", X.key_hash(F.concat(F.lit("9:"), F.col("p_partkey").cast("string"))).alias("h"), F.lit(0).alias("all"))
+    cell = max(1, 60 - (rows.count() >> CELL).bit_length())
+    return with_number(rows, "all", "h", "place", cell=cell).select("p_partkey", F.col("place").cast("int"))

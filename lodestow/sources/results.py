@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,7 @@ SCHEMA = (
     "wait_for_end_secs double, store_metrics map<string,bigint>, "
     "system_metrics struct<peak_memory_bytes:bigint,total_cpu_user_secs:double,total_cpu_system_secs:double,total_disk_read_bytes:bigint,total_disk_write_bytes:bigint,total_disk_read_ops:bigint,total_disk_write_ops:bigint>"
 )
+#: What a result file is called: its objects and their size.
 FILE = r"results\.(\d+)o\.(\d+)b\.json$"
 
 
@@ -24,8 +30,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file_objects", F.regexp_extract(name, FILE, 1)).withColumn("file_size", F.regexp_extract(name, FILE, 2)).where("file_size != ''").withColumns({c: F.col(c).cast("long") for c in ("file_objects", "file_size")})
 
 
-def write(results: DataFrame, path: str) -> None:
-    results.write.mode("append").json(path)
+def write(results: DataFrame, path: str) -> DataFrame:
+    """Write each result (columns of SCHEMA) as a document below the URI path, in a folder of its benchmark's name; their paths.
+
+    Tasks write the files, each under the name that `read` looks for; a task that runs again writes the same.
+    """
+    named = results.select(F.to_json(F.struct(*results.columns)).alias("doc"), F.concat(F.url_encode("benchmark_name"), F.lit("/results."), "objects", F.lit("o."), "object_size", F.lit("b.json")).alias("name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fs, top = pa.fs.FileSystem.from_uri(path)
+            places = []
+            for doc, name in zip(batch.column("doc").to_pylist(), batch.column("name").to_pylist()):
+                fs.create_dir(f"{top}/{name.rpartition('/')[0]}", recursive=True)
+                with fs.open_output_stream(f"{top}/{name}") as out:
+                    out.write(json.dumps(json.loads(doc), indent=2).encode())
+                places.append(f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.string())], ["path"])
+
+    return named.mapInArrow(run, "path string")
 
 
 def schema(spark: SparkSession) -> T.StructType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,34 +14,75 @@ from lodestow.operators.fold import compact, latest
 STATE = "key long, seq long, op string, size long"
 
 
-def compact_stream(log: DataFrame, folder: str, checkpoint: str, **trigger) -> None:
-    """Merge a streaming log (key, seq, op, size) into generations of the base table below folder; runs until it is caught up.
+def compact_stream(log: DataFrame, folder: str, checkpoint: str, buckets: int = 64, **trigger) -> None:
+    """Merge a streaming log (key, seq, op, size) into the base table below folder; runs until it is caught up.
 
-    Each batch reads the last generation and writes the next one under its batch id, so a batch that is run again after a
-    failure writes the same. Readers take the newest whole generation (`current`).
+    The base is dealt to buckets by key. A batch reads and rewrites the buckets its keys fall into and no others; a manifest
+    of each batch names the batch that wrote each bucket last. A batch that is run again after a failure starts from the
+    manifest before it and writes the same. Files that neither of the last two manifests names are deleted. A batch whose
+    predecessor's manifest is missing fails: nothing is taken for an empty base but the first batch of an empty folder.
     """
     spark = log.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = f"{folder}/generation={number - 1}"
-        base = spark.read.schema(STATE).parquet(before) if number and _exists(spark, before) else spark.createDataFrame([], STATE)
-        compact(base, latest(batch)).write.mode("overwrite").parquet(f"{folder}/generation={number}")
+        known = _manifest(spark, folder, number - 1) if number else {}
+        if known is None:
+            raise ValueError(f"{folder}: no whole manifest of batch {number - 1}")
+        if not number and max(_whole(spark, folder), default=0) > 0:
+            raise ValueError(f"{folder} holds later batches: its checkpoint is another one")
+        new = latest(batch.select("key", "seq", "op", "size")).withColumn("bucket", _bucket(buckets)).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if touched:
+            paths = [_place(folder, known[k], k) for k in touched if k in known]
+            base = spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+            rows = compact(base, new.drop("bucket")).withColumn("bucket", _bucket(buckets))
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/batch={number}")
+        new.unpersist()
+        now = known | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
+        for bucket, old in (_manifest(spark, folder, number - 2) or {}).items() - known.items() - now.items():
+            fs, place = _path(spark, _place(folder, old, bucket))
+            fs.delete(place, True)
 
     query = log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+
+def _place(folder: str, batch: int, bucket: int) -> str:
+    return f"{folder}/data/batch={batch}/bucket={bucket}"
+
+
+def _path(spark: SparkSession, path: str):
+    """The file system's handle and a path's."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _whole(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches whose manifests were written whole."""
+    fs, top = _path(spark, f"{folder}/manifest")
+    found = [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []
+    return [int(p.getName().split("=")[1]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def _manifest(spark: SparkSession, folder: str, batch: int) -> dict[int, int] | None:
+    """bucket -> batch that wrote it last, as of a batch; null if that manifest isn't there or not whole."""
+    fs, mark = _path(spark, f"{folder}/manifest/batch={batch}/_SUCCESS")
+    if batch < 0 or not fs.exists(mark):
+        return None
+    rows = spark.read.schema("bucket int, batch long").parquet(f"{folder}/manifest/batch={batch}").collect()
+    return {r["bucket"]: r["batch"] for r in rows}
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    """key, seq, size of what lives in the newest generation that was written whole."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    whole = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(top) if "generation=" in s.getPath().getName() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    state = spark.read.schema(STATE).parquet(f"{folder}/generation={max(whole)}") if whole else spark.createDataFrame([], STATE)
+    """key, seq, size of what lives after the last batch that was written whole."""
+    last = max(_whole(spark, folder), default=-1)
+    paths = [_place(folder, batch, bucket) for bucket, batch in (_manifest(spark, folder, last) or {}).items()]
+    state = spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
     return state.where("op <> 'delete'").select("key", "seq", "size")
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestow.functions import formats
 from lodestow.functions import scalars as X
-from lodestow.operators import benchmarks, catalogue, fold, intervals, layout, tokens
-from lodestow.plans import queries
+from lodestow.operators import benchmarks, catalogue, fold, intervals, layout, neighbours, tokens
 from lodestow.sources import frames, results
 from lodestow.streaming import compaction
 
@@ -93,7 +92,8 @@ def test_merge_cases(spark):
         assert sorted((r["offset"], list(r["data"])) for r in found if r["case"] == name) == want
 
 
-def test_merge_against_model(spark):
+@pytest.mark.parametrize("cell", [2, 20])
+def test_merge_against_model(spark, cell):
     rng, rows, want = random.Random(3), [], {}
     for case in range(40):
         owner = {}
@@ -102,7 +102,7 @@ def test_merge_against_model(spark):
             rows.append((case, seq, at, n))
             owner |= dict.fromkeys(range(at, at + n), seq)
         want[case] = owner
-    found = intervals.merge_writes(spark.createDataFrame(rows, "case long, seq int, offset long, length long")).collect()
+    found = intervals.merge_writes(spark.createDataFrame(rows, "case long, seq int, offset long, length long"), cell=cell).collect()
     for case, owner in want.items():
         mine = {}
         for r in (r for r in found if r["case"] == case):
@@ -130,6 +130,29 @@ def test_fold_against_a_dict(spark):
 def test_gap_free(spark, ids, want):
     df = spark.createDataFrame([(i,) for i in ids], "id long")
     assert fold.gap_free(df, "id", buckets=16).select("id").distinct().count() == want
+    assert fold.gap_free(df, "id", buckets=3, most=2).select("id").distinct().count() == want
+
+
+def test_neighbours_and_sums_over_cells(spark):
+    rng = random.Random(6)
+    keys = [None, 1, 2]
+    log = [(seq, rng.choice(keys), rng.choice(["write", "commit", None]), rng.randrange(100)) for seq in rng.sample(range(400), 200)]
+    df = spark.createDataFrame(log, "seq long, key long, op string, size long")
+    after = {r["seq"]: r["x"] for r in neighbours.with_previous(df, "key", "seq", "op", "x", descending=True, cell=3).collect()}
+    number = {r["seq"]: r["x"] for r in neighbours.with_number(df, "key", "seq", "x", cell=3).collect()}
+    for k in keys:
+        mine = sorted(r for r in log if r[1] == k)
+        assert [after[r[0]] for r in mine] == [r[2] for r in mine[1:]] + [None] and [number[r[0]] for r in mine] == [*range(1, len(mine) + 1)]
+    sums = {r["seq"]: r["before"] for r in neighbours.sums_before(df, "seq", "size", 399, 5).collect()}
+    assert sums == {r[0]: sum(o[3] for o in log if o[0] < r[0]) for r in log}
+
+
+def test_receipts_states_and_versions(spark):
+    uploads = spark.createDataFrame([("a", "0,1, 2,,x,1"), ("b", ""), ("c", None)], "key string, receipts string")
+    assert sorted((r["key"], r["part"]) for r in fold.listed_receipts(uploads).collect()) == [("a", 0), ("a", 1), ("a", 2)]
+    log = spark.createDataFrame([(0, "a", "create", 5), (1, "a", "commit", 5), (2, "b", "create", 7), (3, "b", "delete", 0), (4, "c", "create", 1), (5, "c", "odd", None), (6, "a", "commit", 9)], "seq long, key string, op string, size long")
+    assert {(r["state"], r["n"], r["bytes"]) for r in fold.last_states(log).collect()} == {("committed", 1, 9), ("deleted", 1, 0), ("unknown", 1, 0)}
+    assert [(r["seq"], r["version"]) for r in fold.versions(log).orderBy("seq").collect()] == [(1, 2), (6, 1)]
 
 
 def test_percentile_places(spark):
@@ -140,6 +163,21 @@ def test_percentile_places(spark):
     assert benchmarks.latency_summary(df.where("false"), "k", "v").count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_percentiles_of_ties_outliers_and_keys_without_values(spark, most):
+    rng = random.Random(2)
+    values = {"many": [rng.random() for _ in range(900)] + [1e300], "tied": [5.0] * 400 + [rng.random() for _ in range(100)], None: [float(i) for i in range(77)], "one": [1.0, float("nan"), None], "none": [None, float("nan")]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    found = {r["k"]: r for r in benchmarks.order_statistics(df, "k", "v", {"low": 0.3, "high": 0.95}, bins=4, most=most).collect()}
+    for k, vs in values.items():
+        real = sorted(v for v in vs if v is not None and v == v)
+        n = len(real)
+        assert (found[k]["n"], found[k]["low"], found[k]["high"]) == (n, *((real[min(int(n * p), n - 1)] if n else 0.0) for p in (0.3, 0.95)))
+    whole = {r["k"]: r for r in benchmarks.latency_summary(df, "k", "v").collect()}
+    assert (whole["one"]["avg_ms"], whole["one"]["max_ms"], whole["one"]["p95_ms"]) == (1.0, 1.0, 1.0)
+    assert (whole["none"]["n"], whole["none"]["avg_ms"], whole["none"]["max_ms"], whole["none"]["p99_ms"]) == (0, 0.0, 0.0, 0.0)
+
+
 def test_ticks(spark):
     rng = random.Random(1)
     values = sorted(rng.uniform(1, 1000) for _ in range(100))
@@ -150,16 +188,17 @@ def test_ticks(spark):
     assert value(spark, benchmarks.thinned_ticks(F.array(*[F.lit(v) for v in values]))) == kept
 
 
-def test_buddy_allocator(spark, sf):
-    rows = queries.buddy_allocate(spark, sf).collect()
-    for part in {r["partition"] for r in rows}:
-        taken = set()
-        for r in (r for r in rows if r["partition"] == part and r["page"] is not None):
-            span = set(range(r["page"] << (r["page_log2"] - 9), (r["page"] + 1) << (r["page_log2"] - 9)))
-            assert not span & taken and max(span) < 1 << 9
-            taken |= span
+def test_free_pages_merge_and_repeated_ones_are_one(spark):
     whole = spark.createDataFrame([(9, p) for p in range(4)], "page_log2 int, page long")
     assert [tuple(r) for r in layout.merged_free(whole, 9, 11).collect()] == [(11, 0)]
+    twice = spark.createDataFrame([(9, 4), (9, 4), (10, 7), (10, 7)], "page_log2 int, page long")
+    assert sorted(tuple(r) for r in layout.merged_free(twice, 9, 11).collect()) == [(9, 4), (10, 7)]
+
+
+def test_space_of_requests(spark):
+    rows = spark.createDataFrame([(0, 1, 9), (0, 2, 10), (0, 3, 9), (1, 9, 9)], "partition long, seq long, page_log2 int")
+    assert sorted(map(tuple, layout.space_demand(rows).collect())) == [(0, 9, 2, 1024), (0, 10, 1, 1024), (1, 9, 1, 512)]
+    assert sorted(map(tuple, layout.first_refused(rows, 1600).collect())) == [(0, 3), (1, None)]
 
 
 def test_read_chunks_prune(spark):
@@ -184,7 +223,12 @@ def test_tokens(spark):
     import hashlib
     import hmac
 
-    assert bytes(value(spark, tokens.mac(b"k", F.lit(bytearray(b"msg"))))) == hmac.new(b"k", b"msg", hashlib.sha256).digest()
+    for secret in (b"k", b"k" * 64, b"k" * 65, b"s" * 200):
+        assert bytes(value(spark, tokens.mac(secret, F.lit(bytearray(b"msg"))))) == hmac.new(secret, b"msg", hashlib.sha256).digest()
+    made = tokens.upload_token(b"k", F.lit(7).cast("long"), F.lit(1 << 40))
+    assert value(spark, tokens.opened_upload(b"k", made)) == (7, 1 << 40) and value(spark, tokens.opened_upload(b"x", made)) is None
+    for bad in ("", "A" * 64, "A" * 63 + "=", None):
+        assert value(spark, tokens.opened_upload(b"k", F.lit(bad).cast("string"))) is None
     for bad in ("", "x", "A" * 54, "A" * 53 + "=", None):
         assert not value(spark, tokens.verified(b"k", F.lit(bad).cast("string"), F.lit("read"), F.lit(bytearray(b"a")), F.lit(0)))
     assert value(spark, tokens.presigned_url("http://h", F.lit("a b"), F.lit("T"))) == "http://h/a%20b?t=T"
@@ -203,6 +247,66 @@ def test_frames(spark, tmp_path):
     assert sorted(bytes(r["frame"]) for r in frames.encode(objects).collect()) == sorted(frames.frame(k, d) for k, d in rows)
 
 
+def test_frames_refuse_keys_that_are_too_long(spark):
+    for n, fits in ((65535, True), (65536, False)):
+        framed = frames.encode(spark.range(1).select(F.repeat(F.lit("k"), n).cast("binary").alias("key"), F.lit(bytearray(b"v")).alias("data")))
+        if fits:
+            assert frames.decode(framed.select(F.col("frame").alias("content"))).first()["size"] == 1
+        else:
+            with pytest.raises(Exception, match="too long for a frame"):
+                framed.collect()
+
+
+def test_streams_follow_a_byte_target(spark):
+    objects = spark.createDataFrame([(bytearray(b"k%d" % i), bytearray(b"x" * (i * 7 % 400))) for i in range(300)] + [(bytearray(b"big"), bytearray(5000))], "key binary, data binary")
+    streams = frames.in_streams(frames.encode(objects), most=2000)
+    sizes = [len(r["content"]) for r in streams.collect()]
+    assert 20 < len(sizes) < 60 and sum(n > 5000 for n in sizes) == 1
+    assert frames.decode(streams).count() == 301
+    assert frames.in_streams(frames.encode(objects.where("false"))).count() == 0
+
+
+def test_results_are_written_under_their_names(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", 10, 5, {"m": 1}), ("c", 10, 5, None)], "benchmark_name string, objects long, object_size long, store_metrics map<string,bigint>")
+    assert sorted(r["path"].split("/")[-1] for r in results.write(rows, f"file://{tmp_path}").collect()) == ["results.10o.5b.json"] * 2
+    assert sorted((r["benchmark_name"], r["file_objects"], r["file_size"]) for r in results.read(spark, str(tmp_path)).collect()) == [("a b", 10, 5), ("c", 10, 5)]
+
+
+def test_labels_and_names(spark):
+    of = lambda o, t, b: value(spark, benchmarks.label(F.lit("x"), F.lit(o), F.lit(t).cast("boolean"), F.lit(b)))
+    assert [of(5, None, 0), of(5, True, 3)] == ["x (5 objects)", "x (5 objects, tiering true, 3 buckets)"]
+    assert value(spark, benchmarks.display_name(F.lit("x"), {"x": "y"})) == "y" and value(spark, benchmarks.display_name(F.lit("z"), {"x": "y"})) == "z"
+
+
+def test_system_summary(spark):
+    rows = spark.createDataFrame([("a", 1, 5.0, 10), ("a", 2, 9.0, 12), ("a", 3, 1.0, 30), ("b", 1, 2.0, 8), ("b", 2, 1.0, 3)], "k string, t long, memory double, reads long")
+    assert sorted(map(tuple, benchmarks.system_summary(rows, "k", "t", ["memory"], ["reads"]).collect())) == [("a", 9.0, 20), ("b", 2.0, 0)]
+
+
+def test_compaction_by_buckets_restarts_and_refuses_a_lost_base(spark, tmp_path):
+    log, base, mark = (str(tmp_path / x) for x in ("log", "base", "mark"))
+    write = lambda rows: spark.createDataFrame(rows, "seq long, key long, op string, size long").coalesce(1).write.mode("append").parquet(log)
+    stream = lambda: spark.readStream.schema("seq long, key long, op string, size long").parquet(log)
+    state = lambda: {(r["key"], r["seq"]) for r in compaction.current(spark, base).collect()}
+    assert state() == set()
+    write([(i, i % 20, "write", i) for i in range(40)])
+    compaction.compact_stream(stream(), base, mark, buckets=8)
+    assert state() == {(k, 20 + k) for k in range(20)}
+    for rows in ([(50, 3, "delete", 0), (5, 4, "write", 5)], [(60, 3, "write", 1)], [(70, 99, "write", 1)]):
+        write(rows)  # each restart goes on from the checkpoint
+        compaction.compact_stream(stream(), base, mark, buckets=8)
+        assert (3, 23) not in state() and (4, 24) in state()
+    assert state() == {(k, 20 + k) for k in range(20) if k != 3} | {(3, 60), (99, 70)}
+    held = [(p.parent.name, p.name) for p in (tmp_path / "base/data").glob("batch=*/bucket=*")]
+    assert {b for b, _ in held} >= {"batch=2", "batch=3"} and len(held) <= 10  # one of each bucket, and what the manifest before names
+    with pytest.raises(Exception, match="later batches"):
+        compaction.compact_stream(stream(), base, str(tmp_path / "other"), buckets=8)
+    (tmp_path / "base/manifest/batch=3/_SUCCESS").unlink()
+    write([(80, 1, "write", 1)])
+    with pytest.raises(Exception, match="no whole manifest"):
+        compaction.compact_stream(stream(), base, mark, buckets=8)
+
+
 def test_results_files(spark, tmp_path):
     doc = '{"benchmark_name": "direct", "objects": 10, "object_size": 5, "op": {"write": {"exec_secs": 2.0, "latency": {"avg_ms": 3.0, "p99_ms": 9.0}}}, "store_metrics": {"a": 1}}'
     (tmp_path / "deep").mkdir()

@@ -28,4 +28,4 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_every_commit_has_a_version(spark, sf):
     commits = queries.op_log(spark, sf).where("op = 'commit'").count()
     found = queries.QUERIES["every_version"](spark, sf).select("key", "seq").distinct().count()
-    assert found == commits > queries.QUERIES["version_by_id"](spark, sf).count()
+    assert found == commits
