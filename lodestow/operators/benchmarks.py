@@ -7,56 +7,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestow.session import scratch
+from lodestow.session import kept
 
 TIMED = ("create", "write", "commit", "inspect", "random_read", "read", "delete")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    folder = scratch(df.sparkSession, "statistics")
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def order_statistics(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 256, most: int = 1 << 20) -> DataFrame:
+def order_statistics(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 32, most: int = 1 << 20) -> DataFrame:
     """key, n and for each name the value at place min(floor(n * share), n - 1) of the ascending values; nulls and NaN are no
     values, a key without values has n 0 and zeros.
 
-    Exact, and nothing is sorted whole: values are counted between approximate quantiles of their group, each quantile's
-    own value apart. Bins that hold a wanted place are groups in turn until each is one value or `most` rows at most.
+    Exact, and no more than `most` rows are sorted together: values of larger groups are counted between approximate
+    quantiles, each quantile's own value apart, and the bins that hold a wanted place are groups in turn.
     """
     every = df.select(F.struct(F.col(key).alias("k")).alias("k"), F.col(value).cast("double").alias("v"))
     rows = every.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("g", F.lit(0).cast("long"))
-    totals = every.groupBy("k").agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("n"))
+    totals = kept(every.groupBy("k").agg(F.count(F.when(~F.isnan("v"), F.col("v"))).alias("n")), "statistics")
     names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()])).alias("q")
     wanted = totals.where("n > 0").select("k", F.lit(0).cast("long").alias("g"), names, "n")
-    wanted = _kept(wanted.select("k", "g", "q.name", F.least(F.floor(F.col("n") * F.col("q.p")), F.col("n") - 1).alias("place")))
-    found = []
-    while True:
-        bounds = _kept(rows.groupBy("k", "g").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10_000).alias("bounds")))
-        if bounds.count() <= 1000:  # some 2 MB
-            bounds = F.broadcast(bounds)
+    wanted = wanted.select("k", "g", "q.name", F.least(F.floor(F.col("n") * F.col("q.p")), F.col("n") - 1).alias("place"))
+    found, largest = [], totals.agg(F.max("n")).first()[0] or 0
+    while largest > most:
+        quantiles = F.array_distinct(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10_000))
+        bounds = kept(rows.groupBy("k", "g").agg(quantiles.alias("bounds")), "statistics")
+        bounds = F.broadcast(bounds) if bounds.count() <= 10_000 else bounds  # some 3 MB
         # even numbers between bounds, odd ones for the bounds themselves
-        below = F.size(F.filter(F.array_distinct("bounds"), lambda b: b < F.col("v")))
-        rows = rows.join(bounds, ["k", "g"]).select("k", "g", "v", (2 * below + F.array_contains("bounds", F.col("v")).cast("int")).alias("bin"))
+        below = F.size(F.filter("bounds", lambda b: b < F.col("v")))
+        same = F.coalesce(F.get("bounds", F.col("below")) == F.col("v"), F.lit(False))
+        rows = rows.join(bounds, ["k", "g"]).withColumn("below", below).select("k", "g", "v", (2 * F.col("below") + same.cast("int")).alias("bin"))
         counts = rows.groupBy("k", "g", "bin").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = counts.withColumn("before", F.sum("m").over(Window.partitionBy("k", "g").orderBy("bin")) - F.col("m"))
         hit = wanted.join(before, ["k", "g"]).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("m")))
-        hit = _kept(hit.withColumn("place", F.col("place") - F.col("before")))
+        hit = kept(hit.withColumn("place", F.col("place") - F.col("before")), "statistics")
         found.append(hit.where("low = high").select("k", "name", F.col("low").alias("v")))
-        open_bins = hit.where("low < high").select("k", "g", "bin", "name", "place", "m")
-        largest = open_bins.agg(F.max("m")).first()[0]
-        if largest is None:
-            break
-        rows = rows.join(F.broadcast(open_bins.select("k", "g", "bin").distinct()) if hit.count() <= 100_000 else open_bins.select("k", "g", "bin").distinct(), ["k", "g", "bin"], "left_semi")
-        if largest <= most:
-            ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "g", "bin").orderBy("v")) - 1)
-            found.append(ranked.join(open_bins, ["k", "g", "bin", "place"]).select("k", "name", "v"))
-            break
-        group = F.xxhash64("g", "bin")
-        rows, wanted = _kept(rows.select("k", "v", group.alias("g"))), open_bins.select("k", group.alias("g"), "name", "place")
-    long = reduce(DataFrame.unionByName, found)
-    wide = long.groupBy("k").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
+        rest, group = hit.where("low < high"), F.xxhash64("g", "bin")
+        largest = rest.agg(F.max("m")).first()[0] or 0
+        chosen = rest.select("k", "g", "bin").distinct()
+        rows = rows.join(F.broadcast(chosen) if chosen.count() <= 100_000 else chosen, ["k", "g", "bin"], "left_semi")
+        rows, wanted = kept(rows.select("k", "v", group.alias("g")), "statistics"), rest.select("k", group.alias("g"), "name", "place")
+    ranked = rows.withColumn("place", (F.row_number().over(Window.partitionBy("k", "g").orderBy("v")) - 1).cast("long"))
+    found.append(ranked.join(wanted, ["k", "g", "place"]).select("k", "name", "v"))
+    wide = reduce(DataFrame.unionByName, found).groupBy("k").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])
     return totals.join(wide, "k", "left").select(F.col("k.k").alias(key), "n", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in shares])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestow.operators.neighbours import CELL, with_previous
+from lodestow.session import kept
 
 
 def _pieces(start: Column, stop: Column) -> Column:
@@ -28,6 +29,7 @@ def merge_writes(writes: DataFrame, group: str = "case", cell: int = CELL) -> Da
     next a fragment begins. No task holds a group, however many writes it has.
     """
     real = writes.where("length > 0").select(group, F.col("seq").cast("long").alias("seq"), F.col("offset").cast("long").alias("start"), (F.col("offset") + F.col("length")).cast("long").alias("stop"))
+    real = kept(real, "writes")
     pieces = real.select(group, "seq", F.explode(_pieces(F.col("start"), F.col("stop"))).alias("p"))
     latest = pieces.groupBy(group, "p.level", "p.index").agg(F.max("seq").alias("seq"))
     # no range is longer than the longest write
@@ -44,8 +46,8 @@ def merge_writes(writes: DataFrame, group: str = "case", cell: int = CELL) -> Da
         base = (F.shiftright("x", cell) * (1 << cell)).alias("base")
         wide = asked(places.select(group, base).distinct(), "base", cell, top).withColumnRenamed("seq", "wide")
         won = won.select(group, "x", "seq", base).join(wide, [group, "base"]).select(group, "x", F.greatest("seq", "wide").alias("seq"))
-    new = with_previous(won, group, "x", "seq", "before").where(~F.col("seq").eqNullSafe(F.col("before")))
-    ends = with_previous(new.drop("before"), group, "x", "x", "end", descending=True).where("seq IS NOT NULL")
+    new = with_previous(kept(won, "winners"), group, "x", "seq", "before").where(~F.col("seq").eqNullSafe(F.col("before")))
+    ends = with_previous(kept(new.drop("before"), "fragments"), group, "x", "x", "end", descending=True).where("seq IS NOT NULL")
     kind = writes.schema["seq"].dataType
     return ends.select(group, F.col("seq").cast(kind).alias("seq"), F.col("x").alias("offset"), (F.col("end") - F.col("x")).alias("length"))
 

@@ -25,14 +25,14 @@ def _joined(rows: DataFrame, cells: DataFrame, key: str) -> DataFrame:
 
 def with_previous(rows: DataFrame, key: str, order: str, value: str, name: str, descending: bool = False, cell: int = CELL) -> DataFrame:
     """rows with `name`: the value of the row before in its key (null for the first); descending: of the row after."""
-    columns, held = rows.columns, F.struct(F.col(value).alias("x"))
+    columns = rows.columns
     rows = _celled(rows, order, descending, cell)
-    inside = F.lag(held).over(Window.partitionBy(key, f"{_OWN}cell").orderBy(f"{_OWN}place"))
-    lasts = rows.groupBy(key, f"{_OWN}cell").agg(F.max_by(held, f"{_OWN}place").alias("last"))
+    inside = Window.partitionBy(key, f"{_OWN}cell").orderBy(f"{_OWN}place")
+    lasts = rows.groupBy(key, f"{_OWN}cell").agg(F.max_by(value, f"{_OWN}place").alias("last"))
     carried = F.lag("last").over(Window.partitionBy(key).orderBy(f"{_OWN}cell"))
     cells = lasts.select(key, f"{_OWN}cell", carried.alias(f"{_OWN}carried"))
-    found = _joined(rows.withColumn(f"{_OWN}inside", inside), cells, key)
-    return found.select(*columns, F.coalesce(f"{_OWN}inside", f"{_OWN}carried")["x"].alias(name))
+    rows = rows.withColumns({f"{_OWN}inside": F.lag(value).over(inside), f"{_OWN}first": F.row_number().over(inside) == 1})
+    return _joined(rows, cells, key).select(*columns, F.when(F.col(f"{_OWN}first"), F.col(f"{_OWN}carried")).otherwise(F.col(f"{_OWN}inside")).alias(name))
 
 
 def with_sum(rows: DataFrame, key: str, order: str, value: Column, name: str, descending: bool = False, cell: int = CELL) -> DataFrame:

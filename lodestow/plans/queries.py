@@ -545,7 +545,7 @@ def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = op_log(spark, sf_dir).select("key", "seq", "op", "size")
     parts.repartitionByRange(4, "seq").write.mode("overwrite").parquet(f"{folder}/log")
     stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
-    compaction.compact_stream(stream, f"{folder}/base", f"{folder}/checkpoint")
+    compaction.compact_stream(stream, f"{folder}/base", f"{folder}/checkpoint", buckets=8)
     return compaction.current(spark, f"{folder}/base")
 
 

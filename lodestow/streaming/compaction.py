@@ -39,7 +39,8 @@ def compact_stream(log: DataFrame, folder: str, checkpoint: str, buckets: int =
             rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/batch={number}")
         new.unpersist()
         now = known | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
+        listed = F.create_map(*[F.lit(x) for pair in sorted(now.items()) for x in pair]) if now else F.create_map().cast("map<int,bigint>")
+        spark.range(1).coalesce(1).select(F.explode(listed.cast("map<int,bigint>")).alias("bucket", "batch")).write.mode("overwrite").parquet(f"{folder}/manifest/batch={number}")
         for bucket, old in (_manifest(spark, folder, number - 2) or {}).items() - known.items() - now.items():
             fs, place = _path(spark, _place(folder, old, bucket))
             fs.delete(place, True)
