@@ -87,6 +87,8 @@ def cover(radius: int, seed: int) -> list[int]:
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs within the radius that connect all of fps that such pairs connect."""
+    if len(fps) <= 256 and (np.bitwise_count(fps[:, None] ^ fps) <= radius).sum() == len(fps):
+        return []  # most buckets hold no pair
     left, links = np.arange(len(fps)), []
     while len(left):
         # breadth first from the smallest unseen; each wave is compared with what is still unseen, block by block
