@@ -14,7 +14,7 @@ from lodestow.operators import benchmarks, capacity, catalogue, fold, intervals,
 from lodestow.operators.neighbours import CELL, with_number
 from lodestow.plans.views import bench, load, objects, op_log, with_views, writes
 from lodestow.session import scratch
-from lodestow.sources import frames, results
+from lodestow.sources import files, frames, results
 from lodestow.streaming import compaction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +711,13 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "part").select("p_partkey", X.key_hash(F.concat(F.lit("9:"), F.col("p_partkey").cast("string"))).alias("h"), F.lit(0).alias("all"))
     cell = max(1, 60 - (rows.count() >> CELL).bit_length())
     return with_number(rows, "all", "h", "place", cell=cell).select("p_partkey", F.col("place").cast("int"))
+
+
+@query("SELECT c_custkey AS key, octet_length(encode(c_name || c_mktsegment)) AS size, upper(md5(c_name || c_mktsegment)) AS digest FROM customer")
+def objects_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each customer, found again below their tiers."""
+    folder = scratch(spark, "files")
+    folder = folder if "://" in folder else f"file://{folder}"
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").cast("binary").alias("key"), F.concat("c_name", "c_mktsegment").cast("binary").alias("data"))
+    files.write(rows, folder).count()
+    return files.read(spark, folder).select(F.col("key").cast("string").cast("long").alias("key"), "size", F.upper(F.md5("data")).alias("digest"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestow.functions import formats
 from lodestow.functions import scalars as X
 from lodestow.operators import benchmarks, catalogue, fold, intervals, layout, neighbours, tokens
-from lodestow.sources import frames, results
+from lodestow.sources import files, frames, results
 from lodestow.streaming import compaction
 
 
@@ -266,6 +266,14 @@ def test_streams_follow_a_byte_target(spark):
     assert frames.in_streams(frames.encode(objects.where("false"))).count() == 0
 
 
+def test_objects_as_files_of_any_key(spark, tmp_path):
+    rows = [(bytearray(b"a/b c"), bytearray(b"1")), (bytearray(b"\xff\x00" * 300), bytearray(b"22")), (bytearray(b"k" * 150), bytearray(b"")), (bytearray(b""), bytearray(b"333"))]
+    objects = spark.createDataFrame(rows, "key binary, data binary")
+    assert files.write(objects, f"file://{tmp_path}").count() == 4
+    assert sorted((bytes(r["key"]), bytes(r["data"]), r["size"]) for r in files.read(spark, str(tmp_path)).collect()) == sorted((bytes(k), bytes(d), len(d)) for k, d in rows)
+    assert files.read_any(spark, str(tmp_path)).count() == 4
+
+
 def test_results_are_written_under_their_names(spark, tmp_path):
     rows = spark.createDataFrame([("a b", 10, 5, {"m": 1}), ("c", 10, 5, None)], "benchmark_name string, objects long, object_size long, store_metrics map<string,bigint>")
     assert sorted(r["path"].split("/")[-1] for r in results.write(rows, f"file://{tmp_path}").collect()) == ["results.10o.5b.json"] * 2
