@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 NEXT_UNIT = 950
 
 
+def fixed(x: Column, decimals: int) -> Column:
+    """A double with so many decimals, rounded from its exact binary value, ties to even, as C does.
+
+    format_string rounds halves up, and from the shortest decimal that stands for the double.
+    """
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * decimals if decimals else "0"))
+
+
 def bytes_binary(n: Column) -> Column:
     """Two decimals at most, without trailing zeros; units are powers of 1024."""
     n = n.cast("double")
-    text = lambda k, unit: F.concat(F.regexp_replace(F.format_string("%.2f", n / float(1024**k)), r"\.?0+$", ""), F.lit(f" {unit}B"))
+    text = lambda k, unit: F.concat(F.regexp_replace(fixed(n / float(1024**k), 2), r"\.?0+$", ""), F.lit(f" {unit}B"))
     found = text(5, "P")
     for k, unit in reversed(list(enumerate(("", "K", "M", "G", "T")))):
         found = F.when(n / float(1024**k) < NEXT_UNIT, text(k, unit)).otherwise(found)
@@ -20,18 +28,18 @@ def bytes_binary(n: Column) -> Column:
 
 
 def _decimal(n: Column, suffix: str, plain: Column) -> Column:
-    text = lambda size, unit: F.format_string(f"%.1f {unit}{suffix}", n / size)
+    text = lambda size, unit: F.concat(fixed(n / size, 1), F.lit(f" {unit}{suffix}"))
     return F.when(n >= 1e9, text(1e9, "GB")).when(n >= 1e6, text(1e6, "MB")).when(n >= 1e3, text(1e3, "KB")).otherwise(plain)
 
 
 def bytes_decimal(n: Column) -> Column:
     n = n.cast("double")
-    return _decimal(n, "", F.format_string("%.0f B", n))
+    return _decimal(n, "", F.concat(fixed(n, 0), F.lit(" B")))
 
 
 def bytes_per_second(n: Column) -> Column:
     n = n.cast("double")
-    return _decimal(n, "/s", F.format_string("%.1f B/s", n))
+    return _decimal(n, "/s", F.concat(fixed(n, 1), F.lit(" B/s")))
 
 
 def duration(s: Column, decimals: int = 1) -> Column:
@@ -39,9 +47,10 @@ def duration(s: Column, decimals: int = 1) -> Column:
     s = s.cast("double")
     hours, minutes, rest = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60), F.pmod(s, F.lit(60.0))
     part = lambda shown, text: F.when(shown, text)
-    long = F.concat_ws(" ", part(hours > 0, F.concat(hours.cast("string"), F.lit("h"))), part(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))), part((rest > 0) & (hours == 0), F.format_string(f"%.{decimals}fs", rest)))
-    return F.when(s < 60, F.format_string("%.1fs", s)).otherwise(long)
+    long = F.concat_ws(" ", part(hours > 0, F.concat(hours.cast("string"), F.lit("h"))), part(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))), part((rest > 0) & (hours == 0), F.concat(fixed(rest, decimals), F.lit("s"))))
+    return F.when(s < 60, F.concat(fixed(s, 1), F.lit("s"))).otherwise(long)
 
 
 def percentage(x: Column) -> Column:
-    return F.format_string("%.0f%%", x.cast("double") * 100.0)
+    """A share in whole percent; a decimal one is exact up to its rounding."""
+    return F.concat(fixed(x * 100, 0), F.lit("%"))

@@ -1,6 +1,7 @@
 """Literal tables and models for the operators."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,10 @@ def test_streaming_windows_and_overlay(spark, tmp_path):
     # timeouts by the clock keep a query running until it is stopped, so it gets one batch
     states = ran(compaction.overlay_states(log()), "states", "update", once=True)
     assert {r["key"]: r["seq"] for r in states} == {0: 9, 1: 10, 2: 11}
+
+
+def test_numbers_are_rounded_from_their_exact_values_ties_to_even(spark):
+    for x, decimals in ((0.125, 2), (0.375, 2), (1.005, 2), (2.675, 2), (0.25, 1), (0.35, 1), (2.5, 0), (3.5, 0), (4654.5, 0), (949.995, 2), (1e15 + 0.5, 0)):
+        assert value(spark, formats.fixed(F.lit(x), decimals)) == f"{x:.{decimals}f}"
+    assert value(spark, formats.bytes_binary(F.lit(1.005 * 1024))) == "1 KB" and value(spark, formats.bytes_decimal(F.lit(2250))) == "2.2 KB"
+    assert value(spark, formats.percentage(F.lit(15000).cast("decimal(20,0)") * F.lit(Decimal("0.003103")))) == "4654%"
