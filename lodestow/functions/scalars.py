@@ -123,12 +123,19 @@ def key_text(key: Column) -> Column:
 
 
 def int_be(data: Column) -> Column:
-    """Up to seven big-endian bytes as a long."""
+    """Up to eight big-endian bytes as a long that is not negative."""
     return F.conv(F.hex(data), 16, 10).cast("long")
 
 
+def digits_be(n: Column, width: int) -> Column:
+    """Hex digits of a number that is not negative: those of `width` bytes, and as many more as it needs."""
+    digits = F.hex(n.cast("long"))
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(2 * width)), F.lit("0"))
+
+
 def bytes_be(n: Column, width: int) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width, "0"))
+    """`width` big-endian bytes; of a number that needs more, its first digits."""
+    return F.unhex(F.substring(digits_be(n, width), 1, 2 * width))
 
 
 def reversed_bytes(data: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestow.functions import formats
 from lodestow.functions import scalars as X
 from lodestow.operators import benchmarks, catalogue, fold, intervals, layout, neighbours, tokens
+from lodestow.plans import queries
 from lodestow.sources import files, frames, results
 from lodestow.streaming import compaction
 
@@ -348,3 +349,12 @@ def test_numbers_are_rounded_from_their_exact_values_ties_to_even(spark):
         assert value(spark, formats.fixed(F.lit(x), decimals)) == f"{x:.{decimals}f}"
     assert value(spark, formats.bytes_binary(F.lit(1.005 * 1024))) == "1 KB" and value(spark, formats.bytes_decimal(F.lit(2250))) == "2.2 KB"
     assert value(spark, formats.percentage(F.lit(15000).cast("decimal(20,0)") * F.lit(Decimal("0.003103")))) == "4654%"
+
+
+def test_int_codecs_of_numbers_that_need_more_bytes(spark, duck, tmp_path):
+    rows = [(1,), (453438,), (453439,), (1200000,), (40_000_000_000,)]
+    spark.createDataFrame(rows, "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    sql = queries.ORACLE_SQL["int_codecs"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = duck.execute(sql)
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, queries.QUERIES["int_codecs"](spark, str(tmp_path)).select(*names).collect())) == sorted(found.fetchall())
