@@ -35,16 +35,16 @@ def read_range(objects: DataFrame, start: int, stop: int | None = None) -> DataF
 
 
 def chunked(objects: DataFrame, chunk: int) -> DataFrame:
-    """key, chunk, data: the layout in which a range read prunes to the rows it needs."""
+    """key, object, chunk, data: the layout in which a range read prunes to the rows it needs. `object` tells objects of one key apart."""
     parts = F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(chunk).cast("long")))
-    rows = objects.select("key", "data", parts.alias("chunk", "start"))
-    return rows.select("key", F.col("chunk").cast("long"), F.substr("data", (F.col("start") + 1).cast("int"), F.lit(chunk)).alias("data"))
+    rows = objects.withColumn("object", F.monotonically_increasing_id()).select("key", "object", "data", parts.alias("chunk", "start"))
+    return rows.select("key", "object", F.col("chunk").cast("long"), F.substr("data", (F.col("start") + 1).cast("int"), F.lit(chunk)).alias("data"))
 
 
 def read_chunks(chunks: DataFrame, chunk: int, start: int, stop: int) -> DataFrame:
-    """key, data[start:stop] from chunk rows; only chunks inside the range are read."""
+    """key, data[start:stop] of each object from chunk rows; only chunks inside the range are read."""
     part = chunks.where(F.col("chunk").between(start // chunk, (stop - 1) // chunk))
-    joined = part.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.hex("data").alias("x")))), lambda c: c["x"]), "").alias("x"))
+    joined = part.groupBy("key", "object").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.hex("data").alias("x")))), lambda c: c["x"]), "").alias("x"))
     return joined.select("key", F.substr(F.unhex("x"), F.lit(start % chunk + 1), F.lit(stop - start)).alias("data"))
 
 

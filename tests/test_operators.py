@@ -358,3 +358,10 @@ def test_int_codecs_of_numbers_that_need_more_bytes(spark, duck, tmp_path):
     found = duck.execute(sql)
     names = [d[0] for d in found.description]
     assert sorted(map(tuple, queries.QUERIES["int_codecs"](spark, str(tmp_path)).select(*names).collect())) == sorted(found.fetchall())
+
+
+def test_chunks_of_objects_with_one_key_stay_apart(spark):
+    data = [b"a" * 2500, b"b" * 2500, b"b" * 2500, b"c" * 1200, b"d" * 1800]
+    objects = spark.createDataFrame([(key, bytearray(d), len(d)) for key, d in zip(("k", "k", "k", "k", None), data)], "key string, data binary, size long").repartition(3)
+    found = catalogue.read_chunks(catalogue.chunked(objects, 1000), 1000, 500, 2200).collect()
+    assert sorted(bytes(r["data"]) for r in found) == sorted(d[500:2200] for d in data)
