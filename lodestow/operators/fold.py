@@ -112,9 +112,15 @@ def illegal(log: DataFrame) -> DataFrame:
 
 
 def incomplete_receipts(parts: DataFrame, receipts: DataFrame) -> DataFrame:
-    """key, part of parts (key, parts) for which receipts (key, part) has none."""
-    asked = parts.where("parts > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    return asked.join(receipts, ["key", "part"], "left_anti")
+    """The parts of uploads (key, parts, and other columns that tell uploads of one key apart) without a receipt.
+
+    Receipts have the same columns, part for parts; so has the result. Null keys are keys.
+    """
+    of = [c for c in parts.columns if c != "parts"]
+    asked = parts.where("parts > 0").select(*of, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    here = receipts.select(*[F.col(c).alias(f"_lodestow_{c}") for c in (*of, "part")])
+    met = [F.col(c).eqNullSafe(F.col(f"_lodestow_{c}")) for c in (*of, "part")]
+    return asked.join(here, met, "left_anti")
 
 
 def listed_receipts(uploads: DataFrame) -> DataFrame:

@@ -365,3 +365,10 @@ def test_chunks_of_objects_with_one_key_stay_apart(spark):
     objects = spark.createDataFrame([(key, bytearray(d), len(d)) for key, d in zip(("k", "k", "k", "k", None), data)], "key string, data binary, size long").repartition(3)
     found = catalogue.read_chunks(catalogue.chunked(objects, 1000), 1000, 500, 2200).collect()
     assert sorted(bytes(r["data"]) for r in found) == sorted(d[500:2200] for d in data)
+
+
+def test_receipts_of_uploads_with_one_key_stay_apart(spark):
+    parts = spark.createDataFrame([("k", 10, 2), ("k", 20, 3), ("k", 20, 3), (None, 5, 2)], "key string, size long, parts long")
+    receipts = spark.createDataFrame([("k", 10, 0), ("k", 10, 1), ("k", 20, 1), (None, 5, 0)], "key string, size long, part long")
+    missing = sorted(tuple(r)[1:] for r in fold.incomplete_receipts(parts, receipts).collect())
+    assert missing == [(5, 1), (20, 0), (20, 0), (20, 2), (20, 2)]
