@@ -372,3 +372,26 @@ def test_receipts_of_uploads_with_one_key_stay_apart(spark):
     receipts = spark.createDataFrame([("k", 10, 0), ("k", 10, 1), ("k", 20, 1), (None, 5, 0)], "key string, size long, part long")
     missing = sorted(tuple(r)[1:] for r in fold.incomplete_receipts(parts, receipts).collect())
     assert missing == [(5, 1), (20, 0), (20, 0), (20, 2), (20, 2)]
+
+
+@pytest.mark.parametrize("together", [1, 6, 1 << 18])
+def test_merge_of_small_and_large_groups(spark, together):
+    rng, rows, want = random.Random(4), [(None, 0, 0, 5), (1, 0, None, 5)], set()
+    for case in range(60):
+        owner = {}
+        for seq in range(rng.choice([1, 2, 7, 40])):
+            at, n = rng.randrange(-30, 60), rng.choice([0, 1, 3, 40])
+            rows.append((case, seq, at, n))
+            owner |= dict.fromkeys(range(at, at + n), seq)
+        for b in sorted(owner):
+            if owner.get(b - 1) != owner[b]:
+                end = next(e for e in range(b, b + 200) if owner.get(e) != owner[b])
+                want.add((case, owner[b], b, end - b))
+    table = spark.createDataFrame(rows, "case long, seq int, offset long, length long").repartition(5)
+    found = intervals.merge_writes(table, together=together)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and found.schema["seq"].dataType.simpleString() == "int"
+
+
+def test_merge_does_not_multiply_the_rows_of_small_groups(spark, sf):
+    plan = queries.QUERIES["merge_writes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
