@@ -395,3 +395,13 @@ def test_merge_of_small_and_large_groups(spark, together):
 def test_merge_does_not_multiply_the_rows_of_small_groups(spark, sf):
     plan = queries.QUERIES["merge_writes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    objects = spark.range(700).select(F.col("id").cast("string").cast("binary").alias("key"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).cast("binary").alias("data"))
+    files.write(objects, f"file://{tmp_path}/ab").count()
+    (tmp_path / "ab/_SUCCESS").write_bytes(b"1")
+    found = files.read(spark, f"{tmp_path}/ab")
+    assert "binaryFile" not in found._jdf.queryExecution().toString() and "MapInArrow" in found._jdf.queryExecution().toString()
+    assert sorted((bytes(r["key"]), len(r["data"]), r["size"]) for r in found.collect()) == sorted((b"%d" % i, i % 9, i % 9) for i in range(700))
+    assert files.read(spark, f"{tmp_path}/none").count() == 0
