@@ -2,12 +2,14 @@
 
 Candidates come from the covering search over SimHash fingerprints and from min-wise hashes in bands: texts at 0.8 agree on
 all ROWS minima of one of BANDS bands except for 6 in 10,000 pairs. A bucket links each of its texts to its two ends in
-one order of all texts: two stars, never all pairs, and two texts that are alike meet in several buckets. Of every link
-the exact Jaccard index of the two shingle sets decides; near copies are the components of those that are high enough.
+one order of all texts: two stars. Of every link the exact Jaccard index of the two shingle sets decides. Where the texts
+of a bucket are not all connected after that, each two of them that are not are compared as well, so the components are
+those of all pairs in all buckets; near copies are these components.
 
-Scale: equal texts are one class before any search. Work is by links, less than two for each text and bucket, whatever the
-size of a bucket or a component; a hot bucket's join is split by Spark. Texts are shuffled once, and once more for the
-links they are in.
+Scale: equal texts are one class before any search. First work is by links, less than two for each text and bucket, whatever
+the size of a bucket or a component; then by pairs of a bucket's components, which is quadratic only where a bucket holds
+many texts that are not alike. A hot bucket's join is split by Spark. Texts are shuffled once, and once more for the links
+they are in.
 
 Nulls: a null text has no words; texts without words are copies of each other. Rows with a null id take no part. Rows that
 repeat an id with another text are texts of their own. Very long texts are taken whole. Other columns are not looked at.
@@ -70,6 +72,21 @@ def links(docs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     stars = keyed.join(ends, "key").select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
     every = simhash.links(fps, radius).union(equal).union(stars).where("u != v")
     pairs = table(every.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    found = table(_alike(docs, classes, pairs))
+    groups = components(found)
+    # a bucket whose texts are not all connected yet: each two of them that are not
+    places = keyed.union(classes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
+    places = places.join(groups, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("v", "node").alias("group"))
+    places = table(places)
+    mixed = small(places.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key"))
+    rest = table(places.join(mixed, "key", "left_semi"))
+    other = rest.select("key", F.col("node").alias("other"), F.col("group").alias("other_group"))
+    apart = rest.join(other, "key").where(F.col("group") < F.col("other_group")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return found.union(_alike(docs, classes, table(apart.join(pairs, ["a", "b"], "left_anti"))))
+
+
+def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v): the pairs (a, b; classes) that are near copies."""
     ids = classes.select("node", "doc_id")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.groupBy("doc_id", "node").agg(F.first("text").alias("text"))

@@ -75,3 +75,21 @@ def test_bands_agree_for_nearly_all_pairs_at_the_threshold():
         every = rng.integers(0, 1 << 64, 100, np.uint64)  # 80 of 100 in common
         missed += not (nc.bands(np.sort(every[:90])) == nc.bands(np.sort(every[10:]))).any()
     assert missed <= 3
+
+
+def test_texts_that_are_no_ends_of_their_bucket_meet(docs_of):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(8), []
+    for k in range(12):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(base[:-4])), (3 * k + 2, " ".join(base[4:]))]
+    docs = docs_of(rows)
+    # one bucket for all, and fingerprints that are far apart
+    prints = docs.select("doc_id", F.xxhash64("text").alias("node"), F.xxhash64("doc_id").alias("fp"), F.array(F.lit(1).cast("long")).alias("keys"))
+    ids = {r["node"]: r["doc_id"] for r in prints.collect()}
+    root = {i: i for i, _ in rows}
+    for r in nc.links(docs, prints, 0).collect():
+        low, high = sorted((root[ids[r["u"]]], root[ids[r["v"]]]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    assert root == {i: i // 3 * 3 for i, _ in rows}
