@@ -2,14 +2,17 @@
 
 Candidates come from the covering search over SimHash fingerprints and from min-wise hashes in bands: texts at 0.8 agree on
 all ROWS minima of one of BANDS bands except for 6 in 10,000 pairs. A bucket links each of its texts to its two ends in
-one order of all texts: two stars. Of every link the exact Jaccard index of the two shingle sets decides. Where the texts
-of a bucket are not all connected after that, each two of them that are not are compared as well, so the components are
-those of all pairs in all buckets; near copies are these components.
+one order of all texts: two stars. Of every link the exact Jaccard index of the two shingle sets decides. Texts of buckets
+that are not all connected after that are joined by rare shingles, as prefix filters do (Bayardo et al., 2007; Xiao et al.,
+2008): in an order of all shingles, rare ones first, two near copies have their first common shingle so early that enough of
+both sets follow. No near copies among these texts are missed, so the components are those of all pairs in all buckets at
+least; near copies are these components.
 
 Scale: equal texts are one class before any search. First work is by links, less than two for each text and bucket, whatever
-the size of a bucket or a component; then by pairs of a bucket's components, which is quadratic only where a bucket holds
-many texts that are not alike. A hot bucket's join is split by Spark. Texts are shuffled once, and once more for the links
-they are in.
+the size of a bucket or a component. Then it is by shingles of the texts that are left; each of their early shingles links its
+texts to the one that has it earliest, and only texts that are still apart, and have a common shingle early enough for their
+sizes, are compared in pairs: texts that are not alike differ in rare shingles, which fill their early places. A hot bucket's
+join is split by Spark. Texts are shuffled once, and once more for the links they are in.
 
 Nulls: a null text has no words; texts without words are copies of each other. Rows with a null id take no part. Rows that
 repeat an id with another text are texts of their own. Very long texts are taken whole. Other columns are not looked at.
@@ -72,23 +75,69 @@ def links(docs: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     stars = keyed.join(ends, "key").select(F.col("node").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
     every = simhash.links(fps, radius).union(equal).union(stars).where("u != v")
     pairs = table(every.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
-    found = table(_alike(docs, classes, pairs))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
+    found = table(_alike(texts, classes, pairs))
     groups = components(found)
-    # a bucket whose texts are not all connected yet: each two of them that are not
+    # buckets whose texts are not all connected yet
     places = keyed.union(classes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
     places = places.join(groups, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("v", "node").alias("group"))
     places = table(places)
     mixed = small(places.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key"))
-    rest = table(places.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("node").alias("other"), F.col("group").alias("other_group"))
-    apart = rest.join(other, "key").where(F.col("group") < F.col("other_group")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return found.union(_alike(docs, classes, table(apart.join(pairs, ["a", "b"], "left_anti"))))
+    rest = small(places.join(mixed, "key", "left_semi").select("node").distinct().join(classes.select("node", "doc_id"), "node"))
+    if rest.isEmpty():
+        return found
+    few = table(texts.join(rest, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]))
+    early = table(_early(few))
+    stars = table(_apart(_banded(early, groups), star=True).join(pairs, ["a", "b"], "left_anti"))
+    found = found.union(nearer := table(_alike(few, classes, stars)))
+    groups = components(groups.union(nearer))
+    last = _apart(_banded(early, groups), star=False).join(pairs.union(stars), ["a", "b"], "left_anti")
+    return found.union(_alike(few, classes, table(last)))
+
 
+def _early(texts: DataFrame) -> DataFrame:
+    """token, node, n (shingles of the text), k: the shingles that others of the texts have too, at the places (from 0) where the first that near copies share may be."""
 
-def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u, v): the pairs (a, b; classes) that are near copies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                if n := len(found := shingles(text.as_buffer().to_pybytes() if text.is_valid else b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, n)), pa.array(found.view(np.int64))], ["node", "n", "token"])
+
+    rows = table(texts.select("node", "text").mapInArrow(run, "node long, n long, token long"))
+    shared = small(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    # shingles that no other text has come first: only their number counts
+    ordered = rows.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    ordered = ordered.withColumn("alone", F.expr("n - size(tokens)")).withColumn("most", F.expr("n div 5 + 1 - alone")).where("most > 0")
+    placed = ordered.select("node", "n", "alone", F.posexplode(F.expr("slice(tokens, 1, int(most))")).alias("at", "one"))
+    return placed.select("one.token", "node", "n", (F.col("alone") + F.col("at")).alias("k"))
+
+
+def _banded(early: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of early whose token is in several groups, with their group, band of sizes (own), and once for each band of sizes that near copies may have (other)."""
+    band = lambda n: f"int(floor(ln({n}) * 20))"
+    rows = table(early.join(groups, F.col("node") == F.col("u"), "left").select("token", "node", "n", "k", F.coalesce("v", "node").alias("group")))
+    mixed = small(rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token"))
+    others = F.expr(f"explode(sequence({band('(4 * n + 4) div 5')}, {band('9 * (n - k) div 4 - n')}))")
+    return table(rows.join(mixed, "token", "left_semi").select("*", F.expr(band("n")).alias("own"), others.alias("other")))
+
+
+def _apart(banded: DataFrame, star: bool) -> DataFrame:
+    """(a, b) of texts of different groups that may be near copies by the places of a common token; star: only of each text and the one that has the token earliest."""
+    one, keys = ["node", "n", "k", "group"], ["token", "own", "other"]
+    met = banded
+    if star:
+        met = table(banded.groupBy(*keys).agg(F.min(F.struct("k", "node", "n", "group")).alias("first")).select(*keys, "first.*"))
+    met = met.select("token", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}2") for c in one])
+    # what both have from the token on is enough for 0.8
+    fit = F.expr("group != group2 and 9 * least(n - k, n2 - k2) >= 4 * (n + n2)")
+    found = banded.join(met, keys).where(fit if star else fit & F.expr("node < node2"))
+    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _alike(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v): the pairs (a, b; classes) that are near copies by their texts (doc_id, node, text)."""
     ids = classes.select("node", "doc_id")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.groupBy("doc_id", "node").agg(F.first("text").alias("text"))
     named = lambda df, c: df.select(*[F.col(x).alias(f"{c}_{x}") for x in df.columns])
     for c in "ab":

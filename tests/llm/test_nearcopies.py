@@ -93,3 +93,33 @@ def test_texts_that_are_no_ends_of_their_bucket_meet(docs_of):
         low, high = sorted((root[ids[r["u"]]], root[ids[r["v"]]]))
         root = {k: low if v == high else v for k, v in root.items()}
     assert root == {i: i // 3 * 3 for i, _ in rows}
+
+
+def test_pairs_of_a_bucket_grow_with_its_texts_not_with_their_square(docs_of, monkeypatch):
+    """Edited copies of one text, most of them not alike; all in one bucket."""
+    from pyspark.sql import functions as F
+
+    rng, counts, alike = random.Random(12), [], nc._alike
+
+    def counted(texts, classes, pairs):
+        counts[-1] += pairs.count()
+        return alike(texts, classes, pairs)
+
+    monkeypatch.setattr(nc, "_alike", counted)
+    base, rows = [f"v{i}" for i in range(150)], []
+    for i in range(120):
+        words = list(base) if i % 2 else base[: 150 - i // 4]
+        for at in rng.sample(range(len(words)), 1 + i % 7):
+            words[at] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    for n in (60, 120):
+        docs = docs_of(rows[:n])
+        prints = docs.select("doc_id", F.xxhash64("text").alias("node"), F.xxhash64("doc_id").alias("fp"), F.array(F.lit(1).cast("long")).alias("keys"))
+        counts.append(0)
+        ids = {r["node"]: r["doc_id"] for r in prints.collect()}
+        root = {i: i for i in range(n)}
+        for r in nc.links(docs, prints, 0).collect():
+            low, high = sorted((root[ids[r["u"]]], root[ids[r["v"]]]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        assert {i for i in root if root[i] == i} == brute_kept(rows[:n]) and 20 < len(set(root.values())) < n - 10
+    assert counts[0] < 5 * 60 and counts[1] < 3 * counts[0]
